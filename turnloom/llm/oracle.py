@@ -41,7 +41,36 @@ from isl group by r, view_id, field, s, g having count(*) >= {least}
 """
 
 
+_SEGMENTS = f"""
+select distinct {_clean('source_id')} || printf('/target-ch%02d', channel) as view_id, event_id, round(x[1])::bigint as lo, round(x[2])::bigint as hi
+from (select source_id, channel, event_id, unnest(speaker_segments_ms) as x from final_events)
+where isfinite(x[1]) and isfinite(x[2]) and round(x[2]) > round(x[1])
+"""
+
+_P3_NEAREST = f"""
+with t as (select view_id, x.token_index as token_index, (x.start_ms + x.end_ms) / 2 as tm
+           from (select {_clean('view_id')} as view_id, unnest(tokens) as x from asr_results)),
+tk as (select distinct * from t where isfinite(tm)),
+s as ({_SEGMENTS}),
+d as (select tk.view_id, token_index, tm, event_id, lo, greatest(lo - tm, tm - hi, 0) as away
+      from tk join s on s.view_id = tk.view_id and s.lo - 320 <= tm and s.hi + 320 >= tm),
+r as (select *, row_number() over (partition by view_id, token_index, tm order by away, lo, event_id) as n from d)
+select view_id, token_index, tm as time_ms, event_id, away::double as away_ms from r where n = 1
+"""
+
+_P4 = f"""
+with recursive w as (select nullif({_clean('source_id')}, 'unknown') as a,
+                            nullif({_clean("split_part(" + _clean('view_id') + ", '/', 1)")}, 'unknown') as b from windows),
+e as (select distinct a, b from w where a <> b union select distinct b, a from w where a <> b),
+reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a)
+select distinct a as source_a, b as source_b from reach where a < b
+"""
+
+
 ORACLE = {
+    "p3_found": f"select distinct view_id, token_index, event_id from ({_P3_NEAREST})",
+    "p3_nearest": _P3_NEAREST,
+    "p4_found": _P4,
     "p2_found": _P2,
     "p6_found": _p6(2).replace("@extra", ""),
     "p6_runs": _p6(1).replace("@extra", ", count(*) * 160 as duration_ms"),

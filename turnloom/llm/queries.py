@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.ids import clean_id
-from turnloom.llm import oracle, runs, splitting
+from turnloom.functions.bounds import valid_pairs
+from turnloom.functions.ids import clean_id, view_id
+from turnloom.llm import groups, nearest, oracle, runs, splitting, tokenizer
 from turnloom.session import table
 
 
@@ -70,10 +71,85 @@ def p6_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _p6(spark, folder, 1).select("view_id", "field", "run_state", "start_chunk", "chunk_count", "duration_ms")
 
 
+#: How far from a token its event may be.
+TOLERANCE_MS = 320.0
+
+
+def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """For each recognised token with a time the event spoken nearest to it, and how far off it is."""
+    tokens = table(spark, folder, "asr_results").select(clean_id(F.col("view_id")).alias("entity"), F.explode("tokens").alias("t"))
+    at = (F.col("t.start_ms") + F.col("t.end_ms")) / 2
+    tokens = tokens.select("entity", F.col("t.token_index").alias("point"), at.alias("at"))
+    events = table(spark, folder, "final_events")
+    entity = view_id(clean_id(F.col("source_id")), F.col("channel")).alias("entity")
+    segments = events.select(entity, F.col("event_id").alias("item"), F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x"))
+    found = nearest.nearest_intervals(tokens, segments.select("entity", "item", "x.start", "x.stop"), TOLERANCE_MS)
+    return found.toDF("view_id", "token_index", "time_ms", "event_id", "away_ms")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_nearest(spark, folder).select("view_id", "token_index", "event_id").distinct()
+
+
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows with the recordings that they name."""
+    source, view = clean_id(F.col("source_id")), clean_id(F.substring_index(clean_id(F.col("view_id")), "/", 1))
+    known = lambda x: F.when(x != "unknown", x)
+    return table(spark, folder, "windows").select("window_index", known(source).alias("a"), known(view).alias("b"))
+
+
+def _ties(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.connected_components(_named(spark, folder).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    members = _ties(spark, folder)
+    a, b = members.select("component", F.col("node").alias("source_a")), members.select("component", F.col("node").alias("source_b"))
+    return a.join(b, "component").filter("source_a < source_b").select("source_a", "source_b")
+
+
+def p4_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Every window with its component and part. A window that names no recording is one of its own."""
+    windows = _named(spark, folder).select("window_index", F.coalesce("a", "b").alias("node")).distinct()
+    tied = windows.join(_ties(spark, folder), "node", "left")
+    alone = F.concat(F.lit("window:"), F.coalesce("window_index", F.lit("")))
+    tied = tied.select("window_index", F.coalesce("component", "node", alone).alias("component"))
+    weights = tied.groupBy("component").agg(F.count("*").alias("weight"))
+    parts = groups.proportional_split(weights, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    return tied.join(parts.select("component", "split"), "component").select("window_index", "component", "split")
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows, components and share of each part."""
+    parts = p4_split(spark, folder).groupBy("split").agg(F.count("*").alias("windows"), F.countDistinct("component").alias("components"))
+    return parts.withColumn("share", F.round(F.col("windows") / F.sum("windows").over(Window.partitionBy(F.lit(0))), 4))
+
+
+def p7_ids(spark: SparkSession, folder: str, path: str = tokenizer.VOCABULARY) -> DataFrame:
+    return tokenizer.encode_texts(table(spark, folder, "documents"), "doc_id", "text", path)
+
+
+def p7_round_trip(spark: SparkSession, folder: str, path: str = tokenizer.VOCABULARY) -> DataFrame:
+    """Per language the documents, their tokens, and how many don't decode to their text."""
+    documents = table(spark, folder, "documents")
+    coded = tokenizer.encode_texts(documents, "doc_id", "text", path, check=True).withColumn("n", F.size("ids"))
+    langs = documents.select("doc_id", "lang").groupBy("doc_id").agg(F.first("lang").alias("lang"))
+    return coded.select("doc_id", "n", "same").join(langs, "doc_id").groupBy("lang").agg(
+        F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.count_if(~F.col("same")).alias("changed")
+    )
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_nearest": p3_nearest,
+    "p4_found": p4_found,
+    "p4_split": p4_split,
+    "p4_shares": p4_shares,
     "p6_found": p6_found,
     "p6_runs": p6_runs,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
 }
 ORACLE = oracle.ORACLE
