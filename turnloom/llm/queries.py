@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.bounds import valid_pairs
 from turnloom.functions.ids import clean_id, view_id
-from turnloom.llm import groups, nearest, oracle, runs, splitting, tokenizer
+from turnloom.llm import groups, leakage, nearest, oracle, runs, spam, splitting, tokenizer
 from turnloom.session import table
 
 
@@ -139,6 +139,33 @@ def p7_round_trip(spark: SparkSession, folder: str, path: str = tokenizer.VOCABU
     )
 
 
+def _leaks(spark: SparkSession, folder: str, edits: int) -> DataFrame:
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "test_items"), edits=edits)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder, 0).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks of passages with up to two units changed, dropped or added."""
+    return _leaks(spark, folder, 2)
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaked items, and in how many documents each occurs."""
+    return p8_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_documents(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of spam lines in every document that has any."""
+    return spam.spam_shares(table(spark, folder, "documents")).filter("spam_chars > 0")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -151,5 +178,10 @@ QUERIES = {
     "p6_runs": p6_runs,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
+    "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 ORACLE = oracle.ORACLE
