@@ -1,6 +1,6 @@
 """Pairing each point in time with the nearest interval of the same entity, by expanding rings.
 
-A ring has a radius, and buckets eight radii wide. An interval is put into
+A ring has a radius, and buckets sixteen radii wide. An interval is put into
 every bucket that it comes within the radius of, a point into its own one;
 points and intervals of one (entity, bucket) are joined. What is nearer than
 the radius is surely among these, so the nearest one found is accepted if it
@@ -22,10 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.session import cut
-
 #: Bucket width in radii of the ring.
-WIDE = 8
+WIDE = 16
+#: Longest interval that counts (24 days of milliseconds): a bound on the buckets of one row.
+LONGEST = 2.0**31
 
 
 def _bucket(x: Column, width: float) -> Column:
@@ -60,7 +60,8 @@ def nearest_intervals(points: DataFrame, intervals: DataFrame, tolerance: float,
     ``point``, ``at``, ``item``, ``away``.
 
     Rows with a null, NaN or infinite time, a null entity or item, or
-    ``stop < start`` don't count; a null point name is kept. Points without an
+    ``stop < start``, and intervals longer than ``LONGEST``, don't count; a null
+    point name is kept. Points without an
     interval in reach give no row, nor does an empty table on either side.
     Repeated rows give one result. Other columns are ignored.
     """
@@ -69,13 +70,12 @@ def nearest_intervals(points: DataFrame, intervals: DataFrame, tolerance: float,
 
     points = points.select("entity", "point", F.col("at").cast("double").alias("at")).filter(F.col("entity").isNotNull() & finite("at"))
     intervals = intervals.select("entity", "item", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
-    intervals = intervals.filter("entity is not null and item is not null and stop >= start").filter(finite("start") & finite("stop"))
+    intervals = intervals.filter("entity is not null and item is not null and stop >= start").filter(finite("start") & finite("stop") & (F.col("stop") - F.col("start") <= LONGEST))
     radii = [tolerance / 2**k for k in reversed(range(rings))]
     done, left = [], points
     for radius in radii:
+        # it feeds the result and the next ring: both read the same exchanges, which are planned once
         seen = _ring(left, intervals, radius)
-        if radius < tolerance:
-            seen = cut(seen)  # it feeds the result and the next ring
         done.append(seen.filter("best is not null").select("entity", "point", "at", F.col("best.prize.item").alias("item"), F.col("best.away").alias("away")))
         left = seen.filter("best is null").drop("best")
     return reduce(DataFrame.unionByName, done)
