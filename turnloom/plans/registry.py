@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.plans import corpus
+from turnloom.plans import corpus, dialogue, tables
 
-QUERIES = dict(corpus.QUERIES)
-ORACLE = dict(corpus.ORACLE)
+QUERIES = dialogue.QUERIES | tables.QUERIES | corpus.QUERIES
+ORACLE = dialogue.ORACLE | tables.ORACLE | corpus.ORACLE
