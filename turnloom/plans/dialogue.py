@@ -309,7 +309,8 @@ select u as state, count(*) as groups, count(distinct window_index) as windows f
 def state_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """States that end the groups of the sequences: counted per sequence first, so little is shuffled."""
     rows = table(spark, folder, "model_ready").select("window_index", F.sha2("sequence", 256).alias("h"), packing.state_tokens(F.col("sequence")).alias("all"))
-    counted = F.array(*[F.struct(F.lit(s).alias("state"), F.size(F.filter("all", lambda x, s=s: x == s)).alias("n")) for s in packing.STATES])
+    times = lambda state: F.size(F.filter("all", lambda x: x == state))
+    counted = F.array(*[F.struct(F.lit(s).alias("state"), times(s).alias("n")) for s in packing.STATES])
     per = rows.select("window_index", "h", F.inline(counted)).filter("n > 0").distinct()
     return per.groupBy("state").agg(F.sum("n").alias("groups"), F.count_distinct("window_index").alias("windows"))
 
