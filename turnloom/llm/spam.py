@@ -14,21 +14,20 @@ spam raises, or below in those that spam lowers. A document is spam if such
 lines hold more than half of its characters.
 
 Features are computed in one scan and checkpointed in compact rows, one per
-document; the estimates are combinable sums over all lines, of which the driver
-sees one row per language.
+document; the estimates are sums over all lines, combined within each task
+first, of which the driver sees a table of fixed size per language.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.session import cut
@@ -65,6 +64,8 @@ SCALE = (0.1, 0.05, 0.2, 0.2, 0.03, 0.05, 0.02)
 CUT = 18.48
 #: Least share of the squared deviation that must be spam-directed.
 DIRECTED = 0.6
+#: Width and number of the bins in which features are counted for their medians.
+BIN, BINS = 1 / 256, 4_096
 #: Tokens over which recurrence is counted, and to which shorter texts are scaled (three-fold at most, from 30 tokens on).
 STRETCH = 200
 #: Tokens a line needs to speak for itself; neutral shares of function words and sentence ends by language.
@@ -72,117 +73,195 @@ WEIGHT = 6
 NEUTRAL = {"han": (0.2, 0.06), "other": (0.3, 0.08)}
 
 
-def line_features(text: str | None) -> tuple[str, list[int], list[tuple[float, ...]]]:
-    """Language, characters of each line that isn't blank, and its features."""
-    lines = [x for x in unicodedata.normalize("NFKC", text or "").split("\n") if x.strip()]
-    bare = [LINK.sub(" ", x) for x in lines]
-    words = [["0" if w[0].isdigit() else w for w in WORD.findall(x.lower())] for x in bare]
-    total = sum(map(len, words))
-    stretches, at = max(1, total // STRETCH), 0
-    places, pairs, singles = [], Counter(), Counter()
-    for ws in words:
-        place = [min((at + j) // STRETCH, stretches - 1) for j in range(len(ws))]
-        at += len(ws)
-        places.append(place)
-        pairs.update(zip(place, ws, ws[1:]))
-        singles.update(zip(place, ws))
-    han = sum(n for (_, w), n in singles.items() if "㐀" <= w[0] <= "鿿")
-    lang = "han" if han * 2 > total else "other"
-    words_0, ends_0 = NEUTRAL[lang]
-    scaled = STRETCH / min(STRETCH, max(total, STRETCH // 3)) if total >= 30 else 1.0
-    recurs = lambda n: math.log(1 + (n - 1) * scaled)
-    rows = []
-    for line, rest, ws, place in zip(lines, bare, words, places):
-        n = len(ws)
-        solid = max(1, len(line.replace(" ", "")))
-        linked = max(0.0, 1 - len(rest.replace(" ", "")) / solid)
-        numbers = ws.count("0") / max(1, n)
-        content = [recurs(singles[p, w]) for p, w in zip(place, ws) if w != "0" and w not in FUNCTION]
-        density = sum(recurs(pairs[x]) for x in zip(place, ws, ws[1:]) if x[1:] != ("0", "0"))
-        rows.append((
-            linked * 5 / max(5, n),
-            len(SEPARATOR.findall(rest)) / (n + WEIGHT) * (1 - numbers) ** 2,
-            density / (max(0, n - 1) + WEIGHT),
-            sum(content) / (len(content) + WEIGHT),
-            len(PRICE.findall(rest)) / (n + 2),
-            (sum(w in FUNCTION for w in ws) + words_0 * WEIGHT) / (n + WEIGHT),
-            (len(END.findall(rest)) + ends_0 * WEIGHT) / (n + WEIGHT),
-        ))
-    return lang, [len(x) for x in lines], rows
+@dataclass
+class Measured:
+    """Lines of a batch of documents, one after another: ``first[d]:first[d + 1]`` are those of document d."""
+
+    langs: list[str]
+    first: np.ndarray
+    chars: np.ndarray
+    features: np.ndarray
+
+
+def measure(texts: list[str | None]) -> Measured:
+    """Features of every line, that isn't blank, of a batch of texts. Tokens are counted by array operations."""
+    bare: list[str] = []
+    chars, linked, first, tokens, sizes = [], [], [0], [], []
+    known: dict[str, int] = {}
+    for text in texts:
+        for line in unicodedata.normalize("NFKC", text or "").split("\n"):
+            if not line or line.isspace():
+                continue
+            rest = LINK.sub(" ", line) if "." in line or "](" in line or "<" in line or ":/" in line else line
+            words = WORD.findall(rest.lower())
+            tokens += [known.setdefault(w, len(known)) for w in words]
+            sizes.append(len(words))
+            bare.append(rest)
+            chars.append(len(line))
+            linked.append(max(0.0, 1 - (len(rest) - rest.count(" ")) / max(1, len(line) - line.count(" "))) if rest is not line else 0.0)
+        first.append(len(bare))
+    n_lines, n_words = len(bare), len(known) + 1
+    number = np.array([w[0].isdigit() for w in known], bool)
+    function = np.array([w in FUNCTION for w in known], bool)
+    han = np.array(["㐀" <= w[0] <= "鿿" for w in known], bool)
+    raw, size, first = np.array(tokens, np.int64), np.array(sizes, np.int64), np.array(first, np.int64)
+    ends = np.r_[0, np.cumsum(size)]
+    line = np.repeat(np.arange(n_lines), size)
+    begins = ends[first]  # of the documents, in tokens
+    total = np.diff(begins)
+    doc = np.repeat(np.arange(len(texts)), total)
+    is_number = number[raw]
+    word = np.where(is_number, n_words, raw)
+    stretches = np.maximum(1, total // STRETCH)
+    stretch = np.r_[0, np.cumsum(stretches)[:-1]][doc] + np.minimum((np.arange(len(raw)) - begins[:-1][doc]) // STRETCH, stretches[doc] - 1)
+    scaled = np.where(total >= 30, STRETCH / np.minimum(STRETCH, np.maximum(total, STRETCH // 3)), 1.0)
+
+    def recurs(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How often each key comes in its stretch, as a logarithm, scaled for short documents."""
+        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+        return np.log1p((count[back] - 1) * scaled[of])
+
+    def per_line(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+        return np.bincount(where, values, n_lines)
+
+    single = recurs(stretch * (n_words + 1) + word, doc)
+    content = ~is_number & ~function[raw]
+    at = np.flatnonzero(line[1:] == line[:-1])  # tokens followed by one of the same line
+    _, pair = np.unique(word[at] * (n_words + 1) + word[at + 1], return_inverse=True)
+    double = recurs(stretch[at] * (len(at) + 1) + pair, doc[at])
+    telling = ~(is_number[at] & is_number[at + 1])
+
+    lang_is_han = np.bincount(doc, han[raw], len(texts)) * 2 > total
+    of_line = np.repeat(np.arange(len(texts)), np.diff(first))
+    neutral = np.array([NEUTRAL["han"] if h else NEUTRAL["other"] for h in lang_is_han]).reshape(-1, 2)[of_line]
+    count = lambda pattern: np.array([len(pattern.findall(x)) for x in bare], np.float64)
+    numbers = per_line(is_number, line) / np.maximum(1, size)
+    features = np.stack([
+        np.array(linked) * 5 / np.maximum(5, size),
+        count(SEPARATOR) / (size + WEIGHT) * (1 - numbers) ** 2,
+        per_line(double[telling], line[at][telling]) / (np.maximum(0, size - 1) + WEIGHT),
+        per_line(single[content], line[content]) / (per_line(content, line) + WEIGHT),
+        count(PRICE) / (size + 2),
+        (per_line(function[raw], line) + neutral[:, 0] * WEIGHT) / (size + WEIGHT),
+        (count(END) + neutral[:, 1] * WEIGHT) / (size + WEIGHT),
+    ], 1) if n_lines else np.empty((0, len(FEATURES)))
+    return Measured(["han" if h else "other" for h in lang_is_han], first, np.array(chars, np.int64), features)
 
 
 def _measured(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """A row per document: its lines as one array of structs, compact to keep and cheap to take apart."""
     kind = documents.schema[doc].dataType.simpleString()
+    names = ["chars", *(f"f{j}" for j in range(len(FEATURES)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                got = [line_features(t) for t in batch.column(1).to_pylist()]
-                flat = [[x for row in rows for x in row] for _, _, rows in got]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.float32()))],
-                    names=["d", "lang", "chars", "flat"],
-                )
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                got = measure(batch.column(1).to_pylist())
+                values = [pa.array(got.chars, pa.int32()), *(pa.array(got.features[:, j], pa.float32()) for j in range(len(FEATURES)))]
+                lines = pa.ListArray.from_arrays(pa.array(got.first, pa.int32()), pa.StructArray.from_arrays(values, names))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.langs, pa.string()), lines], names=["d", "lang", "lines"])
 
     rows = documents.select(doc, text).filter(f"length(`{text}`) > 0")
-    return rows.mapInArrow(run, f"`{doc}` {kind}, lang string, chars array<int>, flat array<float>")
+    fields = ", ".join(["chars: int", *(f"f{j}: float" for j in range(len(FEATURES)))])
+    return rows.mapInArrow(run, f"`{doc}` {kind}, lang string, lines array<struct<{fields}>>")
 
 
-def _lines(measured: DataFrame, doc: str) -> DataFrame:
-    """A row per line: the document, its language, characters, and f0, f1, ... of the line."""
-    p = len(FEATURES)
-    rows = measured.select(doc, "lang", "flat", F.posexplode("chars").alias("i", "chars"))
-    return rows.select(doc, "lang", "chars", *[F.get("flat", F.col("i") * p + j).cast("double").alias(f"f{j}") for j in range(p)])
+class Lines:
+    """The lines of an Arrow batch of measured documents, as arrays."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        lists = batch.column(2)
+        flat = lists.flatten()
+        self.sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.langs = np.array(batch.column(1).to_pylist(), object)
+        self.lang = np.repeat(self.langs, self.sizes)
+        self.chars = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        columns = [flat.field(j + 1).to_numpy(zero_copy_only=False) for j in range(len(FEATURES))]
+        self.features = np.stack(columns, 1).astype(np.float64) if len(flat) else np.empty((0, len(FEATURES)))
 
-def _by_lang(models: dict[str, tuple[np.ndarray, np.ndarray]], value) -> Column:
-    """``value(centre, matrix)`` of the row's language; null for a language without a model."""
-    out = F.lit(None).cast("double")
-    for lang, (centre, matrix) in models.items():
-        out = F.when(F.col("lang") == lang, value(centre, matrix)).otherwise(out)
-    return out
+    def per_document(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), values, len(self.sizes)).astype(np.int64)
 
 
-def _distance(models: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
-    def quadratic(centre: np.ndarray, inverse: np.ndarray) -> Column:
-        z = [F.col(f"f{j}") - F.lit(float(centre[j])) for j in range(len(centre))]
-        terms = [z[i] * z[j] * F.lit(float(inverse[i, j] * (1 if i == j else 2))) for i in range(len(z)) for j in range(i, len(z))]
-        return sum(terms[1:], terms[0])
+Model = tuple[np.ndarray, np.ndarray]
 
-    return _by_lang({k: (c, np.linalg.inv(s)) for k, (c, s) in models.items()}, quadratic)
 
+def _squared_distance(x: np.ndarray, model: Model) -> np.ndarray:
+    z = x - model[0]
+    return np.einsum("ij,jk,ik->i", z, np.linalg.inv(model[1]), z)
 
-def robust_models(lines: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language a robust location and scatter of the features of all its lines."""
-    p = len(FEATURES)
-    floor = np.diag(np.square(SCALE))
-    columns = [f"f{j}" for j in range(p)]
-    middle = lines.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns]).collect()
-    centres = {r["lang"]: np.array([r[c] for c in columns]) for r in middle}
-    away = [_by_lang({k: (c, floor) for k, c in centres.items()}, lambda c, _, j=j: F.abs(F.col(f"f{j}") - F.lit(float(c[j])))).alias(f"f{j}") for j in range(p)]
-    spread = lines.select("lang", *away).groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns]).collect()
-    models = {r["lang"]: (centres[r["lang"]], np.diag([max(1.4826 * r[c], s) ** 2 for c, s in zip(columns, SCALE)])) for r in spread}
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    for _ in range(steps):
-        sums = [F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns], *[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"p{i}_{j}") for i, j in pairs]]
-        for r in lines.filter(_distance(models) <= CUT).groupBy("lang").agg(*sums).collect():
-            mean = np.array([r[c] / r["n"] for c in columns])
-            scatter = np.zeros((p, p))
-            for i, j in pairs:
-                scatter[i, j] = scatter[j, i] = r[f"p{i}_{j}"] / r["n"] - mean[i] * mean[j]
-            models[r["lang"]] = mean, scatter + floor
-    return models
+
+def _directed(x: np.ndarray, model: Model) -> np.ndarray:
+    """Share of the scaled squared deviation that points the way spam does."""
+    z = (x - model[0]) / np.sqrt(np.diag(model[1]))
+    return np.square(np.maximum(z * np.array(TOWARDS), 0)).sum(1) / np.maximum(np.square(z).sum(1), 1e-9)
+
+
+def _summed(measured: DataFrame, parts) -> dict[str, dict[int, float]]:
+    """Sums over all lines: ``parts(features)`` gives places and values for each language of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, dict[int, float]] = {}
+        for batch in batches:
+            lines = Lines(batch)
+            for lang in set(lines.langs):
+                own = total.setdefault(lang, {})
+                for place, value in zip(*parts(lang, lines.features[lines.lang == lang])):
+                    own[place] = own.get(place, 0.0) + value
+        flat = [(lang, place, value) for lang, own in total.items() for place, value in own.items()]
+        columns = zip(*flat) if flat else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()))], names=["lang", "place", "value"])
+
+    rows = measured.mapInArrow(run, "lang string, place bigint, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    out: dict[str, dict[int, float]] = {}
+    for lang, place, value in rows.collect():  # a fixed number of places per language
+        out.setdefault(lang, {})[place] = value
+    return out
 
 
-def _directed(models: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
-    def share(centre: np.ndarray, scatter: np.ndarray) -> Column:
-        z = [(F.col(f"f{j}") - F.lit(float(centre[j]))) / F.lit(float(np.sqrt(scatter[j, j]))) for j in range(len(centre))]
-        ours = [F.pow(F.greatest(x * s, F.lit(0.0)), F.lit(2.0)) for x, s in zip(z, TOWARDS)]
-        every = [x * x for x in z]
-        return sum(ours[1:], ours[0]) / F.greatest(sum(every[1:], every[0]), F.lit(1e-9))
+def robust_models(measured: DataFrame, steps: int = 3) -> dict[str, Model]:
+    """Per language a robust location and scatter of the features of all its lines.
 
-    return _by_lang(models, share)
+    Medians and deviations come from counts per bin of a feature, a table of
+    fixed size, exact to half a bin.
+    """
+    p, floor = len(FEATURES), np.diag(np.square(SCALE))
+
+    def bins(_: str, x: np.ndarray) -> tuple[list[int], list[float]]:
+        place, count = np.unique(np.minimum((x / BIN).astype(np.int64), BINS - 1) + np.arange(p) * BINS, return_counts=True)
+        return place.tolist(), count.astype(float).tolist()
+
+    def median(values: np.ndarray, weights: np.ndarray) -> float:
+        order = np.argsort(values)
+        sums = np.cumsum(weights[order])
+        return float(values[order][np.searchsorted(sums, sums[-1] / 2)]) if len(sums) else 0.0
+
+    models = {}
+    for lang, counts in _summed(measured, bins).items():
+        table = np.zeros((p, BINS))
+        for place, count in counts.items():
+            table[place // BINS, place % BINS] = count
+        at = np.arange(BINS) * BIN
+        centre = np.array([median(at[row > 0], row[row > 0]) for row in table])
+        away = np.array([median(np.abs(at - c)[row > 0], row[row > 0]) for row, c in zip(table, centre)])
+        models[lang] = centre, np.diag(np.square(np.maximum(1.4826 * away, SCALE)))
+    for _ in range(steps):
+        known = models
+
+        def moments(lang: str, x: np.ndarray, known=known) -> tuple[range, list[float]]:
+            x = x[_squared_distance(x, known[lang]) <= CUT]
+            return range(1 + p + p * p), [float(len(x)), *x.sum(0).tolist(), *(x.T @ x).ravel().tolist()]
+
+        models = {}
+        for lang, sums in _summed(measured, moments).items():
+            n = sums[0]
+            if not n:
+                models[lang] = known[lang]
+                continue
+            mean = np.array([sums[1 + j] for j in range(p)]) / n
+            models[lang] = mean, np.array([sums[1 + p + j] for j in range(p * p)]).reshape(p, p) / n - np.outer(mean, mean) + floor
+    return models
 
 
 def spam_shares(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,11 +273,22 @@ def spam_shares(documents: DataFrame, doc: str = "doc_id", text: str = "text") -
     is kept. Other columns are ignored; an empty table gives an empty result.
     """
     measured = cut(_measured(documents, doc, text))
-    lines = _lines(measured, doc)
-    models = robust_models(lines)
-    spam = (_distance(models) > CUT) & (_directed(models) > DIRECTED)
-    lines = lines.select(doc, "lang", "chars", F.when(spam, F.col("chars")).otherwise(0).alias("spam"))
-    shares = lines.groupBy(doc).agg(F.max("lang").alias("lang"), F.sum("chars").alias("chars"), F.sum("spam").alias("spam_chars"))
+    models = robust_models(measured)
+    kind = documents.schema[doc].dataType.simpleString()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = Lines(batch)
+            spam = np.zeros(len(lines.chars), bool)
+            for lang in set(lines.langs):
+                own = lines.lang == lang
+                x = lines.features[own]
+                spam[own] = (_squared_distance(x, models[lang]) > CUT) & (_directed(x, models[lang]) > DIRECTED)
+            sums = [pa.array(lines.per_document(v)) for v in (lines.chars, lines.chars * spam)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums], names=["d", "lang", "chars", "spam_chars"])
+
+    shares = measured.mapInArrow(judge, f"`{doc}` {kind}, lang string, chars bigint, spam_chars bigint")
+    shares = shares.groupBy(doc).agg(F.max("lang").alias("lang"), F.sum("chars").alias("chars"), F.sum("spam_chars").alias("spam_chars")).filter("chars > 0")
     return shares.withColumn("spam_share", F.col("spam_chars") / F.col("chars"))
 
 
