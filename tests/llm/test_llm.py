@@ -80,8 +80,9 @@ def test_split_edges(spark):
     assert sorted(got) == [3, 4, 5] and all(p[3] for p in got[4])
     for i, t in ((3, "x" * 41), (4, long), (5, "\u0001" * 100)):
         check_pieces(t, got[i], 40)
-    with pytest.raises(ValueError):
-        splitting.cut_points(spark.createDataFrame([("a", "b")], "s string, shape string"), "s")
+    clash = spark.createDataFrame([("x" * 90, "b", "c", 1)], "s string, shape string, piece string, start int")
+    assert splitting.split_sequences(clash, "s", 40).columns == ["s", "shape", "start", "piece_no", "piece", "piece_text", "piece_length"]
+    assert splitting.split_sequences(clash, "s", 40).count() == 3
 
 
 # --- p3

@@ -75,7 +75,7 @@ def proportional_split(weights: DataFrame, parts: dict[str, float], seed: int =
     size, then within a range. Null components don't count.
     """
     total = sum(parts.values())
-    placed = weights.filter("component is not null and weight > 0").withColumn("h", F.xxhash64(F.lit(seed), "component"))
+    placed = weights.select("component", "weight").filter("component is not null and weight > 0").withColumn("h", F.xxhash64(F.lit(seed), "component"))
     placed = placed.withColumn("size", -F.floor(F.log2("weight")).cast("int")).withColumn("range", F.pmod("h", F.lit(RANGES)))
     ranges = placed.groupBy("size", "range").agg(F.sum("weight").alias("w"))
     line = Window.partitionBy(F.lit(0)).orderBy("size", "range")

@@ -26,6 +26,9 @@ LIMIT = 1_500
 #: Marks of a shape, by strength: end of a group, end of its text, other control token, space or punctuation.
 GROUP, SENTENCE, OTHER, PAUSE = "\u0001", "\u0002", "\u0003", "\u0004"
 MARKS = GROUP + SENTENCE + OTHER + PAUSE
+#: Columns used on the way, and those added.
+SHAPE, BOUNDS = "__turnloom_shape", "__turnloom_bounds"
+RESULTS = ("piece_no", "piece", "piece_text", "piece_length")
 
 
 def body(sequence: Column) -> Column:
@@ -57,7 +60,7 @@ def _let(value: Column, use) -> Column:
 
 def _pieces(room: int) -> Column:
     """Pieces of ``shape`` given ``bounds`` (0, then the end of each group): a fold, one extraction a step."""
-    shape_, bounds = F.col("shape"), F.col("bounds")
+    shape_, bounds = F.col(SHAPE), F.col(BOUNDS)
     half = room // 2
     inner = "|".join(f".{{{half},{room - 1}}}{mark}" for mark in (SENTENCE, OTHER, PAUSE))
     pattern = f"^(?s:.{{0,{room - 1}}}{GROUP}|{inner}|.{{1,{room}}})"
@@ -88,7 +91,7 @@ def _pieces(room: int) -> Column:
     empty = F.array().cast("array<struct<start:int,len:int,first:int,last:int,inside:boolean>>")
     start = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("done"), F.lit(True).alias("whole"), empty.alias("pieces"))
     # a step covers a group, or half the room within one; a group too long takes one more
-    steps = F.sequence(F.lit(1), F.size(bounds) + F.expr(f"length(shape) div {max(1, half)}") + 1)
+    steps = F.sequence(F.lit(1), F.size(bounds) + F.expr(f"length({SHAPE}) div {max(1, half)}") + 1)
     return F.aggregate(steps, start, step, lambda acc: acc["pieces"])
 
 
@@ -101,17 +104,16 @@ def cut_points(rows: DataFrame, sequence: str, limit: int = LIMIT) -> DataFrame:
     with the prefix is at most ``limit`` long. Groups are cut only when one with
     the prefix is over the limit, then at the strongest boundary in the second
     half of the room. What follows the last group's end counts as a group. Null
-    and empty sequences, and those within the limit, give no row.
+    and empty sequences, and those within the limit, give no row. Input columns
+    are kept, but for those named like a result; repeated rows stay repeated.
     """
     room = limit - len(PREFIX)
-    clash = {"shape", "bounds"} & set(rows.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used by the operator; rename them first")
-    long = rows.filter(unit_length(F.col(sequence)) > limit).withColumn("shape", shape(body(F.col(sequence))))
-    groups = F.regexp_extract_all("shape", F.lit(f"(?s)[^{GROUP}]*+{GROUP}"), F.lit(0))
+    kept = [c for c in rows.columns if c not in RESULTS]
+    long = rows.filter(unit_length(F.col(sequence)) > limit).select(*kept, shape(body(F.col(sequence))).alias(SHAPE))
+    groups = F.regexp_extract_all(SHAPE, F.lit(f"(?s)[^{GROUP}]*+{GROUP}"), F.lit(0))
     add = lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(g)))
-    long = long.withColumn("bounds", F.aggregate(groups, F.array(F.lit(0)), add))
-    return long.select(*rows.columns, F.posexplode(_pieces(room)).alias("piece_no", "piece"))
+    long = long.withColumn(BOUNDS, F.aggregate(groups, F.array(F.lit(0)), add))
+    return long.select(*kept, F.posexplode(_pieces(room)).alias("piece_no", "piece"))
 
 
 def split_sequences(rows: DataFrame, sequence: str, limit: int = LIMIT) -> DataFrame:
