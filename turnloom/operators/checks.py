@@ -27,7 +27,7 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 def order_violations(rows: DataFrame, keys: list[str], order: list[str], value: str, span: int = 4096) -> DataFrame:
     """Rows whose value is below that of the row before them in their key, and that ``previous`` value.
 
-    The first column of ``order`` is a whole number that cuts a key into spans;
+    Returns the columns named and ``previous``. The first column of ``order`` is a whole number that cuts a key into spans;
     the row before the first of a span is the last of an earlier one, read from
     a table of one row per span. So a hot key is never sorted in one piece.
     Null values are skipped; equal ones are in order.

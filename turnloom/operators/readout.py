@@ -21,7 +21,7 @@ def read_out(steps: DataFrame, keys: list[str], state: str, at: str, end: str) -
     for name, label in TERMINALS.items():
         meant = F.when(F.col(state) == name, label).otherwise(meant)
     t, away = F.col(at).cast("double"), F.abs(F.col(at).cast("double") - F.col(end).cast("double"))
-    placed = steps.withColumn("meant", meant)
+    placed = steps.select(*keys, state, at, end, meant.alias("meant"))
 
     def pick(order: list[Column], best, cond: Column = F.lit(True)) -> Column:
         row = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(order)], F.col("meant").alias("m"))

@@ -13,7 +13,7 @@ def hashed_top(rows: DataFrame, group: str, key: str, count: int, offset: int =
     ``offset + count`` rows of a group, however large that is.
     """
     along = Window.partitionBy(group).orderBy(F.sha2(F.col(key), 256), key)
-    placed = rows.withColumn("place", F.row_number().over(along)).filter(F.col("place") <= offset + count)
+    placed = rows.drop("place").withColumn("place", F.row_number().over(along)).filter(F.col("place") <= offset + count)
     return placed.filter(F.col("place") > offset)
 
 

@@ -32,8 +32,8 @@ def claims(cells: DataFrame, states: DataFrame) -> DataFrame:
     An event claims its active chunks, and unless it is a backchannel the chunk
     after the last one. Events of no known state claim nothing.
     """
-    known = states.withColumn("active", _mapped(F.col("state"), ACTIVE)).withColumn("terminal", _mapped(F.col("state"), TERMINAL)).drop("state")
-    stated = cells.join(known, "event_id").filter("active is not null")
+    known = states.select("event_id", "state").withColumn("active", _mapped(F.col("state"), ACTIVE)).withColumn("terminal", _mapped(F.col("state"), TERMINAL)).drop("state")
+    stated = cells.select("view_id", "event_id", "chunk").join(known, "event_id").filter("active is not null")
     activity = stated.select("view_id", "chunk", "event_id", F.lit("activity").alias("kind"), F.col("active").alias("state"))
     ends = stated.filter("terminal is not null").groupBy("view_id", "event_id", "terminal").agg((F.max("chunk") + 1).alias("chunk"))
     return activity.unionByName(ends.select("view_id", "chunk", "event_id", F.lit("terminal").alias("kind"), F.col("terminal").alias("state")))
@@ -53,7 +53,7 @@ def resolve(claimed: DataFrame, grid: DataFrame, active: DataFrame, forced: Data
     )
     longer = claimed.filter("kind = 'terminal'").groupBy("view_id").agg(F.max("chunk").alias("last"))
     size = F.greatest("chunk_count", F.least(F.coalesce(F.col("last") + 1, F.lit(0)), F.col("chunk_count") + 1))
-    cells = grid.join(longer, "view_id", "left").filter("chunk_count > 0").select("view_id", F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("chunk"))
+    cells = grid.select("view_id", "chunk_count").join(longer, "view_id", "left").filter("chunk_count > 0").select("view_id", F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("chunk"))
     marks = active.select("view_id", "chunk").distinct().withColumn("active", F.lit(True))
     cells = cells.join(by_chunk, ["view_id", "chunk"], "left").join(marks, ["view_id", "chunk"], "left")
     if forced is not None:

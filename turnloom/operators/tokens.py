@@ -49,7 +49,7 @@ def render_groups(tokens: DataFrame, keys: list[str], order: str, token: str) ->
     are left out.
     """
     ascii_ = F.col(token).rlike("[A-Za-z0-9]") & ~F.col(token).rlike(r"[\x{4e00}-\x{9fff}]")
-    kept = tokens.filter(F.length(token) > 0).withColumn("ascii", ascii_)
+    kept = tokens.filter(F.length(token) > 0).select(*keys, order, token, ascii_.alias("ascii"))
     along = Window.partitionBy(*keys).orderBy(order, token)
     piece = F.concat(F.when(F.lag("ascii").over(along), " ").otherwise(""), F.col(token))
     placed = kept.select(*keys, F.struct(F.col(order).alias("o"), F.col(token).alias("t"), piece.alias("p")).alias("x"))
