@@ -69,7 +69,9 @@ class Index:
     q: int
     words: dict[str, int]
     items: list[int]
-    texts: list[np.ndarray]
+    flat: np.ndarray  # units of all items, one after another
+    offsets: np.ndarray
+    sizes: np.ndarray
     hashes: np.ndarray  # sorted, distinct
     first: np.ndarray  # hashes[i] is found at entries first[i]:first[i + 1]
     item: np.ndarray
@@ -95,56 +97,31 @@ def build_index(items: list[tuple[int, list[str]]], window: int = WINDOW, edits:
     place = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, np.int64)
     order = np.argsort(flat, kind="stable")
     hashes, first = np.unique(flat[order], return_index=True)
-    return Index(window, edits, q, words, [i for i, _ in items], texts, hashes, np.r_[first, len(flat)], item[order], place[order])
+    lengths = np.array([len(t) for t in texts], np.int64)
+    units_ = np.concatenate(texts) if texts else np.empty(0, np.int64)
+    return Index(window, edits, q, words, [i for i, _ in items], units_, np.cumsum(lengths) - lengths, lengths, hashes, np.r_[first, len(flat)], item[order], place[order])
 
 
-def _align(pattern: np.ndarray, text: np.ndarray, edits: int) -> int:
-    """Least edits with which the pattern occurs somewhere in the text; more than ``edits`` if none is so near.
+#: Windows aligned together.
+ALIGNED = 20_000
 
-    The usual table, its first row free, kept to the band of cells that a path
-    within the budget can pass through.
+
+def _edits(patterns: np.ndarray, texts: np.ndarray, edits: int) -> np.ndarray:
+    """Least edits with which each pattern occurs in its text; more than ``edits`` if none is so near.
+
+    All rows at once, in a band of ``4 * edits + 1`` diagonals, each text
+    starting at the lowest of them. The start in the text is free.
     """
-    far = edits + 1
-    n, width = len(pattern), len(text)
-    before = [0] * (width + 1)
-    for i in range(1, n + 1):
-        now = [min(i, far)] + [far] * width
-        symbol = pattern[i - 1]
-        lo, hi = max(1, i - edits), min(width, i + edits + max(0, width - n))
-        for j in range(lo, hi + 1):
-            best = before[j - 1] + (text[j - 1] != symbol)
-            if before[j] + 1 < best:
-                best = before[j] + 1
-            if now[j - 1] + 1 < best:
-                best = now[j - 1] + 1
-            now[j] = min(best, far)
-        if min(now) >= far:
-            return far
-        before = now
-    return min(before)
-
-
-def _verify(index: Index, item: int, ids: np.ndarray, low: int, high: int, diagonals: tuple[int, int]) -> int | None:
-    """Least edits of a window of the item starting in ``low..high``, along the given diagonals."""
-    text, w, e = index.texts[item], index.window, index.edits
-    if e == 0:
-        at = diagonals[0]
-        same = text[low : high + w] == ids[low + at : high + w + at]
-        run = 0
-        for hit in same:
-            run = run + 1 if hit else 0
-            if run >= w:
-                return 0
-        return None
-    best = None
-    for p in range(max(0, low), min(high, len(text) - w) + 1):
-        start, stop = max(0, p + diagonals[0] - e), min(len(ids), p + w + diagonals[1] + e)
-        got = _align(text[p : p + w], ids[start:stop], e)
-        if got <= e and (best is None or got < best):
-            best = got
-            if best == 0:
-                break
-    return best
+    n, w = patterns.shape
+    band = 4 * edits + 1
+    cost = np.zeros((n, band), np.int32)
+    for i in range(w):
+        now = cost + (patterns[:, i, None] != texts[:, i : i + band])
+        np.minimum(now[:, :-1], cost[:, 1:] + 1, out=now[:, :-1])  # a unit of the pattern dropped
+        for k in range(1, band):
+            np.minimum(now[:, k], now[:, k - 1] + 1, out=now[:, k])  # one of the text added
+        cost = now
+    return cost.min(1)
 
 
 def _cases(index: Index, texts: list[str | None]) -> list[tuple[int, int, int]]:
@@ -179,7 +156,6 @@ def _cases(index: Index, texts: list[str | None]) -> list[tuple[int, int, int]]:
     diagonal = at - start[doc] - place
 
     # overlapping bands: 2e + 1 diagonals wide, e + 1 apart; each hit is in one or two
-    found: dict[tuple[int, int], int] = {}
     band = diagonal // (e + 1)
     hits = [(doc, item, band, place)]
     if e:
@@ -191,28 +167,26 @@ def _cases(index: Index, texts: list[str | None]) -> list[tuple[int, int, int]]:
         return []
     head, tail = table[: len(table) - bound + 1], table[bound - 1 :]
     dense = np.flatnonzero((head[:, :3] == tail[:, :3]).all(1) & (tail[:, 3] - head[:, 3] <= w - q))
-    # a window of the item that holds such a stretch starts at most w - q before its end
-    regions: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for i in dense.tolist():
-        d, it, b, p = table[i].tolist()
-        low = max(0, int(tail[i, 3]) - (w - q))
-        known_low, known_high = regions.get((d, it, b), (low, p))
-        regions[d, it, b] = min(low, known_low), max(p, known_high)
-    for (d, it, b), (low, high) in regions.items():
-        if found.get((d, it)) == 0:
-            continue
-        stop = start[d + 1] - q if d + 1 < len(start) else len(ids) - q
-        own = ids[start[d] : stop]
-        diagonals = (b * (e + 1), b * (e + 1) + 2 * e)
-        if e == 0:  # stay inside both texts along the diagonal
-            low = max(low, -diagonals[0])
-            high = min(high, len(index.texts[it]) - w, len(own) - diagonals[0] - w)
-            if high < low:
-                continue
-        got = _verify(index, it, own, low, high, diagonals)
-        if got is not None and got < found.get((d, it), e + 1):
-            found[d, it] = got
-    return [(rows[d], index.items[it], edits) for (d, it), edits in found.items()]
+    # a window of the item that holds such a stretch starts at most w - q before its end, along a diagonal of the band
+    d, it, b, p = table[dense].T
+    low, high = np.maximum(0, tail[dense, 3] - (w - q)), np.minimum(p, index.sizes[it] - w)
+    many = np.maximum(0, high - low + 1)
+    p = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    windows = np.unique(np.stack([np.repeat(d, many), np.repeat(it, many), np.repeat(b, many), p], 1), axis=0)
+    sizes = np.diff(np.r_[start, len(ids)]) - q
+    reach = np.arange(w + 4 * e)
+    found: dict[tuple[int, int], int] = {}
+    for k in range(0, len(windows), ALIGNED):
+        d, it, b, p = windows[k : k + ALIGNED].T
+        patterns = index.flat[(index.offsets[it] + p)[:, None] + np.arange(w)]
+        at = (p + b * (e + 1) - e)[:, None] + reach
+        outside = (at < 0) | (at >= sizes[d][:, None])
+        texts_ = np.where(outside, -1, ids[np.where(outside, 0, at + start[d][:, None])])
+        changed = _edits(patterns, texts_, e)
+        for row in np.flatnonzero(changed <= e).tolist():
+            case = int(d[row]), int(it[row])
+            found[case] = min(int(changed[row]), found.get(case, e))
+    return [(rows[d], index.items[it], changed) for (d, it), changed in found.items()]
 
 
 def _blocks(items: DataFrame, item: str, text: str, window: int, edits: int, most: int) -> Iterator[Index]:
