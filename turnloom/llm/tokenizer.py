@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: Fixed value: the pattern that cuts a text into words for the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -158,15 +159,15 @@ class Transducer:
         return "".join([step(self.bytes_of[i]) for i in ids or ()]) + step(b"", True)
 
 
-_BUILT: dict[int, Transducer] = {}
+_BUILT: dict[str, Transducer] = {}
 
 
-def _built(shared) -> Transducer:
-    """This worker's transducer for a broadcast rank table."""
-    if id(shared) not in _BUILT:
+def _built(digest: str, shared) -> Transducer:
+    """This worker's transducer for a broadcast rank table, named by the digest of its file."""
+    if digest not in _BUILT:
         _BUILT.clear()
-        _BUILT[id(shared)] = Transducer(shared.value)
-    return _BUILT[id(shared)]
+        _BUILT[digest] = Transducer(shared.value)
+    return _BUILT[digest]
 
 
 def encode_texts(rows: DataFrame, key: str, text: str, path: str = VOCABULARY, check: bool = False) -> DataFrame:
@@ -178,10 +179,12 @@ def encode_texts(rows: DataFrame, key: str, text: str, path: str = VOCABULARY, c
     kept; repeated rows stay repeated. Other columns are ignored.
     """
     shared = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _built(shared)
+        coder = _built(digest, shared)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -194,7 +197,3 @@ def encode_texts(rows: DataFrame, key: str, text: str, path: str = VOCABULARY, c
 
     schema = f"`{key}` {kind}, ids array<int>" + ", same boolean" * check
     return rows.select(key, text).mapInArrow(run, schema)
-
-
-def vocabulary_size(spark: SparkSession, path: str = VOCABULARY) -> int:
-    return len(read_ranks(path))
