@@ -33,12 +33,13 @@ def target_vs_rest(cells: DataFrame, views: DataFrame) -> DataFrame:
     ``cells``: ``source_id``, ``channel``, ``chunk``; ``views``: ``view_id``,
     ``source_id``, ``channel``. No track is joined to another: the tracks of a
     chunk are one short array, as long as the recording has tracks, and each
-    view of the recording reads it. A view without any active chunk has zeros.
+    view of the recording reads it. That side is never broadcast: it is exploded,
+    which the optimizer's estimate of its size doesn't know. A view without any active chunk has zeros.
     """
     by_chunk = cells.select("source_id", "channel", "chunk").groupBy("source_id", "chunk").agg(F.collect_set("channel").alias("tracks"))
     own = F.array_contains("tracks", F.col("channel"))
     rest = F.size("tracks") - own.cast("int")
-    per = views.select("view_id", "source_id", "channel").join(by_chunk, "source_id", "left").select("view_id", own.alias("own"), rest.alias("rest"), F.col("chunk"))
+    per = views.select("view_id", "source_id", "channel").join(by_chunk.hint("merge"), "source_id", "left").select("view_id", own.alias("own"), rest.alias("rest"), F.col("chunk"))
     count = lambda cond: F.count_if(cond & F.col("chunk").isNotNull())
     return per.groupBy("view_id").agg(
         count(F.col("own")).alias("target_chunks"),

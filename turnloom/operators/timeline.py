@@ -55,9 +55,10 @@ def resolve(claimed: DataFrame, grid: DataFrame, active: DataFrame, forced: Data
     size = F.greatest("chunk_count", F.least(F.coalesce(F.col("last") + 1, F.lit(0)), F.col("chunk_count") + 1))
     cells = grid.select("view_id", "chunk_count").join(longer, "view_id", "left").filter("chunk_count > 0").select("view_id", F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("chunk"))
     marks = active.select("view_id", "chunk").distinct().withColumn("active", F.lit(True))
-    cells = cells.join(by_chunk, ["view_id", "chunk"], "left").join(marks, ["view_id", "chunk"], "left")
+    # exploded sides are never broadcast: estimates of their size don't know how many rows that makes
+    cells = cells.join(by_chunk.hint("merge"), ["view_id", "chunk"], "left").join(marks.hint("merge"), ["view_id", "chunk"], "left")
     if forced is not None:
-        cells = cells.join(forced.select("view_id", "chunk").distinct().withColumn("forced", F.lit(True)), ["view_id", "chunk"], "left")
+        cells = cells.join(forced.select("view_id", "chunk").distinct().withColumn("forced", F.lit(True)).hint("merge"), ["view_id", "chunk"], "left")
     else:
         cells = cells.withColumn("forced", F.lit(False))
     problem = (

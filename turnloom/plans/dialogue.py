@@ -6,13 +6,14 @@ views or results, each counts once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import hashing, ids
 from turnloom.functions.bounds import chunk_range, valid_pair, valid_pairs
 from turnloom.functions.ids import clean_id
-from turnloom.operators import cache, checks, grid, labels, packing, sampling, stats, timeline, tokens
+from turnloom.operators import cache, checks, contracts, grid, labels, packing, sampling, stats, timeline, tokens
+from turnloom.plans import pipeline
 from turnloom.session import table
 
 
@@ -236,11 +237,13 @@ k as (select result_id, vw.view_id, ta, least(floor(start_ms / 160.0::double), h
   (select tok.*, least(len(ta), ceil(end_ms / 160.0::double))::bigint as hi from tok join vw using (view_id) where isfinite(start_ms) and isfinite(end_ms) and end_ms > start_ms and start_ms >= 0) tok join vw using (view_id))
 select view_id, count(*) as tokens, count(*) filter (list_bool_or(ta[greatest(lo - 2, 0) + 1:least(hi + 2, len(ta))])) as evidenced from k group by 1""".replace("k as (select result_id, vw.view_id, ta, ", "k as (select result_id, vw.view_id, vw.ta as ta, ").replace("hi, chunk_count from", "hi from"))
 def token_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens with activity of their track within two chunks."""
+    """Tokens with activity of their track within two chunks: rows of results meet rows of views, tokens stay in theirs."""
     views = _views(spark, folder, "target_active_by_chunk")
-    timed = _tokens(spark, folder).filter("end_ms > start_ms and start_ms >= 0 and not isnan(end_ms)").join(views, "view_id")
-    near = tokens.has_activity(F.col("start_ms"), F.col("end_ms"), F.col("target_active_by_chunk"))
-    return timed.groupBy("view_id").agg(F.count("*").alias("tokens"), F.count_if(near).alias("evidenced"))
+    results = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("view_id"), "tokens").dropDuplicates(["result_id"])
+    timed = F.filter("tokens", lambda t: (t["end_ms"] > t["start_ms"]) & (t["start_ms"] >= 0) & ~F.isnan(t["end_ms"]))
+    near = F.filter("timed", lambda t: tokens.has_activity(t["start_ms"], t["end_ms"], F.col("target_active_by_chunk")))
+    joined = results.select("view_id", timed.alias("timed")).filter(F.size("timed") > 0).join(views, "view_id")
+    return joined.groupBy("view_id").agg(F.sum(F.size("timed").cast("bigint")).alias("tokens"), F.sum(F.size(near).cast("bigint")).alias("evidenced"))
 
 
 @query("""select view_id, fault, count(*) as results from (select view_id, unnest(list_filter([
@@ -518,3 +521,61 @@ def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     """Views that no result is kept for."""
     results = table(spark, folder, "asr_results").select(clean_id(F.col("view_id")).alias("view_id")).filter("view_id is not null")
     return cache.misses(_views(spark, folder), results, "view_id").agg(F.count("*").alias("missing_views"))
+
+
+@query(f"with {_EV}, {_SEG}, " + """
+src as (select source_id, any_value(ntrack) as ntrack, any_value(chunk_count) as n from sources group by 1 having any_value(ntrack) >= 2 and any_value(chunk_count) > 0),
+c as (select distinct s.source_id, s.channel, unnest(range(least(lo // 160, n), least((hi + 159) // 160, n))) as chunk from (select *, greatest(lo, 0) as lo0 from seg) s join src on src.source_id = s.source_id where lo >= 0),
+k as (select source_id, chunk, list(distinct channel) as tracks from c group by all),
+v as (select source_id, unnest(range(ntrack)) as channel, n from src)
+select v.source_id || printf('/target-ch%02d', v.channel) as view_id, any_value(n) as chunk_count, count(*) filter (list_contains(tracks, v.channel)) as target_chunks,
+  count(*) filter (len(tracks) - list_contains(tracks, v.channel)::int > 0) as other_chunks, count(*) filter (list_contains(tracks, v.channel) and len(tracks) > 1) as overlap_chunks
+from v left join k on k.source_id = v.source_id group by v.source_id, v.channel""")
+def rebuilt_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Views built again from recordings and events, their arrays summed up."""
+    events = _events(spark, folder, "source_id", "channel", "speaker_segments_ms")
+    views = pipeline.build_views(table(spark, folder, "sources"), events)
+    true = lambda c: F.size(F.filter(c, lambda x: x)).cast("bigint")
+    return views.select("view_id", "chunk_count", true("target_active_by_chunk").alias("target_chunks"), true("other_active_by_chunk").alias("other_chunks"), true("overlap_by_chunk").alias("overlap_chunks"))
+
+
+@query(f"with {_EV}, {_SEG}, {_CELL}, {_CLAIM}, {_VIEW}, " + """
+x as (select view_id, chunk, min(state) as lo, max(state) as hi, bool_or(kind = 'activity') as covered from cl group by all),
+sz as (select vw.view_id, greatest(chunk_count, least(coalesce(l.last + 1, 0), chunk_count + 1)) as n from vw left join (select view_id, max(chunk) as last from cl where kind = 'terminal' group by 1) l using (view_id)),
+g as (select view_id, unnest(range(n)) as chunk from sz),
+a as (select view_id, i as chunk from (select view_id, unnest(ta) as t, unnest(range(len(ta))) as i from vw) where t),
+r as (select g.view_id, g.chunk, case when a.chunk is not null and not coalesce(x.covered, false) then 'uncovered' when x.lo <> x.hi then 'conflict' end as kind
+  from g left join x on x.view_id = g.view_id and x.chunk = g.chunk left join a on a.view_id = g.view_id and a.chunk = g.chunk),
+i as (select view_id, kind, chunk, chunk - row_number() over (partition by view_id, kind order by chunk) as isl from r where kind is not null)
+select view_id, kind, min(chunk)::int as start_chunk, (max(chunk) + 1)::int as stop_chunk from i group by view_id, kind, isl""")
+def quarantined_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of chunks that the timeline build quarantines, by kind."""
+    views = _views(spark, folder, "chunk_count", "target_active_by_chunk")
+    events = _events(spark, folder, "source_id", "channel", "final_state", "speaker_segments_ms")
+    return pipeline.build_timelines(views, events)[1]
+
+
+@query()
+def exported_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences packed from the stored timelines; the audio tokens of chunk c are 2c and 2c + 1 (there are none stored)."""
+    lines = table(spark, folder, "timelines").dropDuplicates(["view_id"])
+    audio = F.transform("chunk_states", lambda s, i: F.array(F.pmod(i * 2, F.lit(51_866)), F.pmod(i * 2 + 1, F.lit(51_866))))
+    other = F.transform("other_active_count_by_chunk", lambda n: n > 0)
+    lines = lines.select("view_id", "source_id", F.col("target_channel").alias("channel"), "overlap_by_chunk",
+                         F.transform("chunk_states", _state_name).alias("chunk_states"), F.col("chunk_asr_targets").alias("chunk_texts"), audio.alias("chunk_audio"), other.alias("other_active_by_chunk"))
+    return pipeline.export_sequences(lines, set_name="dlgset").drop("sequence")
+
+
+def _state_name(raw):
+    """A stored state however it is spelled."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(raw, r"<\||\|>", ""))), r"[\s_-]+", "_")
+
+
+@query(f"with {_TL} select count(*) as traces, 0::bigint as faulty from tl where states is not null")
+def trace_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Timelines read as traces of 160 ms steps, held against the trace contract."""
+    lines = table(spark, folder, "timelines").select("view_id", "chunk_states").dropDuplicates(["view_id"]).filter("chunk_states is not null")
+    names = lambda s: F.when(s.rlike("(?i)nonidle"), "nonidle").when(s.rlike("(?i)idle"), "idle").when(s.rlike("(?i)incomplete"), "wait").when(s.rlike("(?i)complete"), "speak").when(s.rlike("(?i)backchannel"), "backchannel").otherwise("unknown")
+    step = lambda s, i: F.struct(names(s).alias("state"), F.array(i * F.lit(0.16), (i + 1) * F.lit(0.16)).alias("timestamp"))
+    faults = contracts.trace_faults(F.transform("chunk_states", step))
+    return lines.agg(F.count("*").alias("traces"), F.count_if(F.size(faults) > 0).alias("faulty"))
