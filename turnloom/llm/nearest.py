@@ -46,7 +46,8 @@ def _ring(points: DataFrame, intervals: DataFrame, radius: float) -> DataFrame:
     placed = points.withColumn("bucket", _bucket(F.col("at"), width))
     away = F.greatest(F.col("lo") - F.col("at"), F.col("at") - F.col("hi"), F.lit(0.0))
     near = F.when((away <= r) & F.col("prize").isNotNull(), F.struct(away.alias("away"), F.col("prize")))
-    paired = placed.join(reach, ["entity", "bucket"], "left").select("entity", "bucket", "point", "at", near.alias("near"))
+    # never broadcast: the estimate of an exploded side's size doesn't know how many rows that makes
+    paired = placed.join(reach.hint("merge"), ["entity", "bucket"], "left").select("entity", "bucket", "point", "at", near.alias("near"))
     return paired.groupBy("entity", "bucket", "point", "at").agg(F.min("near").alias("best")).drop("bucket")
 
 

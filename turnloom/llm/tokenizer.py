@@ -119,7 +119,7 @@ class Transducer:
                     break
             else:
                 raise ValueError("the vocabulary has no token for a byte")
-            if i >= 8 * reach:
+            if i >= 8 * reach and i % reach == 0:
                 yield from self._emit(last, start, low, goal := self.settled(start, low))
                 drop = goal - low
                 del window[:drop], last[:drop], start[:drop]
