@@ -394,7 +394,7 @@ def split_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count("*").alias("windows"), F.count_distinct("source_id").alias("sources"), F.sum("chunk_count").alias("chunks"), F.round(F.sum("chunk_count") * 0.16 / 3600, 6).alias("hours"))
 
 
-@query("select 0::bigint as leaked_sources")
+@query(f"with {_SPLIT}, j as (select source_id, count(distinct split) as splits from w join sp using (source_id) group by 1) select count(*) filter (splits > 1) as leaked_sources from j")
 def leakage_check(spark: SparkSession, folder: str) -> DataFrame:
     """Recordings in more than one part of the split: none."""
     return sampling.shared_keys(_split_windows(spark, folder), "source_id", "split").agg(F.count("*").alias("leaked_sources"))
@@ -571,7 +571,7 @@ def _state_name(raw):
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(raw, r"<\||\|>", ""))), r"[\s_-]+", "_")
 
 
-@query(f"with {_TL} select count(*) as traces, 0::bigint as faulty from tl where states is not null")
+@query(f"with {_TL} select count(*) as traces, count(*) filter (len(states) = 0) as faulty from tl where states is not null")
 def trace_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Timelines read as traces of 160 ms steps, held against the trace contract."""
     lines = table(spark, folder, "timelines").select("view_id", "chunk_states").dropDuplicates(["view_id"]).filter("chunk_states is not null")
