@@ -89,7 +89,7 @@ rng as (select view_id, x[1]::bigint as lo, x[2]::bigint as hi from (select view
 iv as (select view_id, 'ms' as basis, lo, hi from okseg union all select view_id, 'ms', lo, hi from okenv
        union all select view_id, 'chunk', lo, hi from rng where hi > lo),
 m as (select *, max(hi) over (partition by view_id, basis order by lo, hi rows between unbounded preceding and 1 preceding) as top
-      from iv where view_id is not null),
+      from (select distinct * from iv) where view_id is not null),
 g as (select *, sum(case when top is null or lo > top then 1 else 0 end) over (partition by view_id, basis order by lo, hi rows unbounded preceding) as island from m),
 p as (select view_id, basis, min(lo) as start_at, max(hi) as stop_at from g group by view_id, basis, island),
 n as (select *, lead(start_at) over (partition by view_id, basis order by start_at) as nxt from p)
