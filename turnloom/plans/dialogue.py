@@ -414,11 +414,10 @@ def event_set_digest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""select label_id, sha256('{"confidence":' || coalesce(confidence::varchar, 'null') || ',"event_id":' || coalesce('"' || replace(event_id, chr(9), chr(92) || 't') || '"', 'null') || ',"state":' || coalesce('"' || label_state || '"', 'null') || '}') as signature
-from (select label_id, any_value(confidence) as confidence, any_value(event_id) as event_id, any_value(label_state) as label_state from state_labels group by 1) where confidence is null or confidence >= 0.001""")
+from (select label_id, any_value(confidence) as confidence, any_value(event_id) as event_id, any_value(label_state) as label_state from state_labels group by 1)""")
 def label_signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Signature of each label's content."""
     rows = table(spark, folder, "state_labels").select("label_id", "event_id", "label_state", "confidence").dropDuplicates(["label_id"])
-    rows = rows.filter("confidence is null or confidence >= 0.001")
     return rows.select("label_id", hashing.signature(event_id=F.col("event_id"), state=F.col("label_state"), confidence=F.col("confidence")).alias("signature"))
 
 
