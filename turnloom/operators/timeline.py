@@ -40,13 +40,15 @@ def claims(cells: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def resolve(claimed: DataFrame, grid: DataFrame, active: DataFrame, forced: DataFrame | None = None) -> DataFrame:
-    """State of every chunk of a view: ``(view_id, chunk, state, problem)``.
+    """State of every chunk of a view: ``(view_id, chunk, state, problem, problems)``.
 
     ``grid``: ``view_id``, ``chunk_count``; ``active``: cells of the track's own
-    activity; ``forced``: cells to be quarantined anyway. No claim means idle,
-    one state claims the chunk, several leave it null with problem
-    ``conflict``; activity that no event covers is ``uncovered``, and wins over
-    a terminal claim. The grid grows by a chunk if a terminal claim needs it.
+    activity; ``forced``: cells to be quarantined anyway, with their ``kind``. No
+    claim means idle, one state claims the chunk, several leave it null with
+    problem ``conflict``; activity that no event covers is ``uncovered``, and wins
+    over a terminal claim. ``problems`` are all that hold for a chunk, ``problem``
+    is the first: the forced kinds, then ``uncovered``, then ``conflict``. The grid
+    grows by a chunk if a terminal claim needs it.
     """
     by_chunk = claimed.groupBy("view_id", "chunk").agg(
         F.min("state").alias("least"), F.max("state").alias("most"), F.bool_or(F.col("kind") == "activity").alias("covered")
@@ -58,14 +60,15 @@ def resolve(claimed: DataFrame, grid: DataFrame, active: DataFrame, forced: Data
     # exploded sides are never broadcast: estimates of their size don't know how many rows that makes
     cells = cells.join(by_chunk.hint("merge"), ["view_id", "chunk"], "left").join(marks.hint("merge"), ["view_id", "chunk"], "left")
     if forced is not None:
-        cells = cells.join(forced.select("view_id", "chunk").distinct().withColumn("forced", F.lit(True)).hint("merge"), ["view_id", "chunk"], "left")
+        kinds = forced.groupBy("view_id", "chunk").agg(F.array_sort(F.collect_set("kind")).alias("forced"))
+        cells = cells.join(kinds.hint("merge"), ["view_id", "chunk"], "left")
     else:
-        cells = cells.withColumn("forced", F.lit(False))
-    problem = (
-        F.when(F.coalesce("forced", F.lit(False)), "forced")
-        .when(F.coalesce("active", F.lit(False)) & ~F.coalesce("covered", F.lit(False)), "uncovered")
-        .when(F.col("least") != F.col("most"), "conflict")
-    )
-    cells = cells.withColumn("problem", problem)
+        cells = cells.withColumn("forced", F.lit(None).cast("array<string>"))
+    found = F.array_compact(F.array(
+        F.when(F.coalesce("active", F.lit(False)) & ~F.coalesce("covered", F.lit(False)), "uncovered"),
+        F.when(F.col("least") != F.col("most"), "conflict"),
+    ))
+    problems = F.concat(F.coalesce("forced", F.array().cast("array<string>")), found)
+    cells = cells.withColumn("problems", problems).withColumn("problem", F.get("problems", F.lit(0)))
     state = F.when(F.col("problem").isNull(), F.coalesce("least", F.lit("user_idle")))
-    return cells.select("view_id", "chunk", state.alias("state"), "problem")
+    return cells.select("view_id", "chunk", state.alias("state"), "problem", "problems")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.bounds import CHUNK_MS, chunk_range
+from turnloom.operators import grid
 
 
 def emit_chunk(end_ms: Column, chunks: Column, chunk_ms: int = CHUNK_MS) -> Column:
@@ -42,6 +43,34 @@ def has_activity(start_ms: Column, end_ms: Column, active: Column, tolerance: in
     return F.exists(F.slice(active, (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int")), lambda x: x)
 
 
+def evidence(results: DataFrame, views: DataFrame, envelopes: DataFrame, tolerance: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Timed tokens with what they are near: the track's activity, and the envelopes of fallback events.
+
+    ``results``: ``result_id``, ``view_id``, ``tokens``; ``views``: ``view_id``,
+    ``chunk_count``, ``target_active_by_chunk``; ``envelopes``: ``view_id``,
+    ``event_id``, ``lo``, ``hi`` in chunks. Near is within ``tolerance`` chunks.
+    Returns the tokens (``view_id``, ``result_id``, ``place``, ``emit_chunk``,
+    ``active``) and the pairs (``view_id``, ``result_id``, ``place``, ``event_id``).
+    A token of no length counts, one without finite times from 0 on doesn't.
+    """
+    timed = lambda t: (t["end_ms"] >= t["start_ms"]) & (t["start_ms"] >= 0) & (t["end_ms"] < float("inf"))
+    size = F.size("target_active_by_chunk").cast("bigint")
+
+    def read(t: Column, i: Column) -> Column:
+        lo, hi = chunk_range(t["start_ms"], t["end_ms"], size)
+        active = F.coalesce(has_activity(t["start_ms"], t["end_ms"], F.col("target_active_by_chunk"), tolerance), F.lit(False))
+        return F.when(timed(t), F.struct(i.alias("place"), lo.alias("lo"), hi.alias("hi"), emit_chunk(t["end_ms"], F.col("chunk_count")).alias("emit_chunk"), active.alias("active")))
+
+    joined = results.select("result_id", "view_id", "tokens").join(views.select("view_id", "chunk_count", "target_active_by_chunk"), "view_id")
+    rows = joined.select("view_id", "result_id", F.inline(F.array_compact(F.transform("tokens", read))))
+    # half of the tolerance is given to either side, so that ranges of no length can meet
+    left = rows.select("view_id", F.struct("result_id", "place").alias("left_id"), (F.col("lo") - tolerance // 2).alias("lo"), (F.col("hi") + tolerance // 2).alias("hi"))
+    wide = tolerance - tolerance // 2
+    right = envelopes.select("view_id", F.col("event_id").alias("right_id"), (F.col("lo") - wide).alias("lo"), (F.col("hi") + wide).alias("hi"))
+    pairs = grid.overlap_pairs(left, right, "view_id").select("view_id", "left_id.result_id", "left_id.place", F.col("right_id").alias("event_id"))
+    return rows.drop("lo", "hi"), pairs
+
+
 def render_groups(tokens: DataFrame, keys: list[str], order: str, token: str) -> DataFrame:
     """Text of each group of tokens: no space but after a token with ASCII letters or digits and no Han.
 

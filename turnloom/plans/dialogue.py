@@ -554,6 +554,51 @@ def quarantined_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.build_timelines(views, events)[1]
 
 
+_FALLBACK = """fb as (select ev.event_id, vw.view_id, least(round(env[1])::bigint // 160, least(chunk_count, (round(env[2])::bigint + 159) // 160)) as lo, least(chunk_count, (round(env[2])::bigint + 159) // 160) as hi
+  from ev join (select event_id, any_value(activity_fallback_candidate) as candidate from final_events group by 1) using (event_id) join vw on vw.source_id = ev.source_id and vw.channel = ev.channel
+  where candidate and isfinite(env[1]) and isfinite(env[2]) and round(env[2]) > round(env[1]) and ev.event_id not in (select event_id from seg)),
+tk as (select result_id, place, k.view_id, end_ms, chunk_count, ta, least(floor(start_ms / 160.0::double), least(len(ta), ceil(end_ms / 160.0::double)))::bigint as lo, least(len(ta), ceil(end_ms / 160.0::double))::bigint as hi
+  from (select result_id, view_id, place, t.* from (select result_id, lower(trim(any_value(view_id), chr(9) || ' ')) as view_id, unnest(any_value(tokens)) as t, unnest(range(len(any_value(tokens)))) as place from asr_results group by result_id)) k
+  join vw using (view_id) where isfinite(start_ms) and isfinite(end_ms) and end_ms >= start_ms and start_ms >= 0),
+tt as (select *, coalesce(list_bool_or(ta[greatest(lo - 2, 0) + 1:least(hi + 2, len(ta))]), false) as active from tk),
+pairs as (select tt.view_id, result_id, place, event_id from tt join fb on fb.view_id = tt.view_id and tt.lo < fb.hi + 2 and tt.hi > fb.lo - 2)"""
+_WHOLE = f"{_EV}, {_SEG}, {_CELL}, {_VIEW}, {_FALLBACK}, " + """
+every as (select view_id, event_id, chunk from cell union select view_id, event_id, unnest(range(lo, hi)) from fb where event_id in (select event_id from pairs)), """ + _CLAIM.replace("from cell c", "from every c") + """,
+fo as (select view_id, unnest(range(lo, hi)) as chunk, 'fallback' as kind from fb where event_id not in (select event_id from pairs)
+  union select view_id, greatest(0, least(chunk_count - 1, ceil(end_ms / 160.0::double) - 1))::bigint, 'outside' from tt where not active and (result_id, place) not in (select (result_id, place) from pairs)),
+x as (select view_id, chunk, min(state) as lo, max(state) as hi, bool_or(kind = 'activity') as covered from cl group by all),
+sz as (select vw.view_id, greatest(chunk_count, least(coalesce(l.last + 1, 0), chunk_count + 1)) as n from vw left join (select view_id, max(chunk) as last from cl where kind = 'terminal' group by 1) l using (view_id)),
+g as (select view_id, unnest(range(n)) as chunk from sz),
+a as (select view_id, i as chunk from (select view_id, unnest(ta) as t, unnest(range(len(ta))) as i from vw) where t),
+q as (select view_id, chunk, kind from fo union all select g.view_id, g.chunk, 'conflict' from g join x on x.view_id = g.view_id and x.chunk = g.chunk where x.lo <> x.hi
+  union all select a.view_id, a.chunk, 'uncovered' from a left join x on x.view_id = a.view_id and x.chunk = a.chunk where not coalesce(x.covered, false))"""
+
+
+def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What timelines are built of: views, events, and recognition results."""
+    views = _views(spark, folder, "chunk_count", "target_active_by_chunk")
+    events = _events(spark, folder, "source_id", "channel", "final_state", "speaker_segments_ms", "activity_fallback_candidate", "effective_event_envelope_ms")
+    results = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("view_id"), "tokens").dropDuplicates(["result_id"])
+    return views, events, results
+
+
+@query(f"with {_WHOLE}" + """
+select g.view_id, coalesce(p.kind, x.lo, 'user_idle') as outcome, count(*) as chunks from g left join x on x.view_id = g.view_id and x.chunk = g.chunk
+  left join (select view_id, chunk, arg_min(kind, case kind when 'fallback' then 1 when 'outside' then 2 when 'uncovered' then 3 else 4 end) as kind from q group by all) p on p.view_id = g.view_id and p.chunk = g.chunk group by all""")
+def view_timeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Resolved state of every chunk with recognition results heard, counted per view and outcome."""
+    cells = pipeline.resolved_cells(*_whole(spark, folder))
+    return cells.groupBy("view_id", F.coalesce("problem", "state").alias("outcome")).agg(F.count("*").alias("chunks"))
+
+
+@query(f"with {_WHOLE}, " + """
+i as (select view_id, kind, chunk, chunk - row_number() over (partition by view_id, kind order by chunk) as isl from (select distinct view_id, kind, chunk from q))
+select view_id, kind, min(chunk)::int as start_chunk, (max(chunk) + 1)::int as stop_chunk from i group by view_id, kind, isl""")
+def view_quarantines(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of chunks of all four kinds of quarantine; a chunk may be of several."""
+    return pipeline.build_timelines(*_whole(spark, folder))[1]
+
+
 @query()
 def exported_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences packed from the stored timelines; the audio tokens of chunk c are 2c and 2c + 1 (there are none stored)."""

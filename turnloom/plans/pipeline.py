@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import ids
-from turnloom.functions.bounds import valid_pairs
-from turnloom.operators import grid, packing, timeline
+from turnloom.functions.bounds import chunk_range, valid_pair, valid_pairs
+from turnloom.operators import grid, packing, timeline, tokens
 
 
 def _nested(cells: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -47,23 +47,67 @@ def build_views(sources: DataFrame, events: DataFrame) -> DataFrame:
     return _nested(flags, "view_id", names).withColumn("chunk_count", F.size(names[0]).cast("bigint"))
 
 
-def build_timelines(views: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States by chunk of each view, and the quarantined ranges with their kind.
+def fallback_envelopes(views: DataFrame, events: DataFrame) -> DataFrame:
+    """``(view_id, event_id, lo, hi)``: chunks of the envelope of each fallback event, clamped to its view.
 
-    ``views`` as of :func:`build_views`; ``events``: ``event_id``, ``source_id``,
-    ``channel``, ``final_state``, ``speaker_segments_ms``.
+    Such an event has no valid speaker segment, is marked as a candidate and has
+    a valid envelope.
+    """
+    view = ids.view_id(F.col("source_id"), F.col("channel")).alias("view_id")
+    bare = events.filter(F.col("activity_fallback_candidate") & (F.size(valid_pairs(F.col("speaker_segments_ms"))) == 0))
+    spans = bare.select(view, "event_id", valid_pair(F.col("effective_event_envelope_ms")).alias("x")).filter("x is not null")
+    lo, hi = chunk_range(F.col("x.start").cast("double"), F.col("x.stop").cast("double"), F.col("chunk_count"))
+    return spans.join(views.select("view_id", "chunk_count"), "view_id").select("view_id", "event_id", lo.alias("lo"), hi.alias("hi"))
+
+
+def resolved_cells(views: DataFrame, events: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """The timeline of every view in long form, as of :func:`timeline.resolve`.
+
+    With ``results`` (``result_id``, ``view_id``, ``tokens``) the envelope of a
+    fallback event claims its chunks if a token is near, and is quarantined
+    (``fallback``) if none is; so is the chunk of each token that is near neither
+    activity nor such an envelope (``outside``).
     """
     spoken = events.select(ids.view_id(F.col("source_id"), F.col("channel")).alias("view_id"), "event_id", F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x"))
     cells = grid.chunk_cells(spoken.select("view_id", "event_id", "x.start", "x.stop"), ["view_id", "event_id"])
+    forced = None
+    if results is not None:
+        # both are small and read several times over
+        envelopes = fallback_envelopes(views, events).checkpoint()
+        heard, pairs = tokens.evidence(results, views, envelopes)
+        pairs = pairs.checkpoint()
+        chunks = envelopes.filter("lo < hi").select("view_id", "event_id", F.explode(F.expr("sequence(lo, hi - 1)")).alias("chunk"))
+        proven = pairs.select("event_id").distinct()
+        cells = cells.unionByName(chunks.join(proven, "event_id", "left_semi").select("view_id", "event_id", "chunk"))
+        outside = heard.filter("not active").join(pairs, ["result_id", "place"], "left_anti")
+        forced = chunks.join(proven, "event_id", "left_anti").select("view_id", "chunk", F.lit("fallback").alias("kind")).unionByName(
+            outside.select("view_id", F.col("emit_chunk").cast("bigint").alias("chunk"), F.lit("outside").alias("kind")))
     claimed = timeline.claims(cells, events.select("event_id", F.col("final_state").alias("state")).distinct())
     active = views.select("view_id", F.posexplode("target_active_by_chunk").alias("chunk", "on")).filter("on").select("view_id", F.col("chunk").cast("bigint").alias("chunk"))
-    states = timeline.resolve(claimed.join(views.select("view_id"), "view_id", "left_semi"), views, active)
-    lines = _nested(states, "view_id", ["state", "problem"]).toDF("view_id", "chunk_states", "problems")
+    return timeline.resolve(claimed.join(views.select("view_id"), "view_id", "left_semi"), views, active, forced)
+
+
+def build_timelines(views: DataFrame, events: DataFrame, results: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """States by chunk of each view, and the quarantined ranges with their kind.
+
+    ``views`` as of :func:`build_views`; ``events``: ``event_id``, ``source_id``,
+    ``channel``, ``final_state``, ``speaker_segments_ms``. For all four kinds of
+    quarantine ``results`` are needed, as in :func:`resolved_cells`, and of events
+    ``activity_fallback_candidate`` and ``effective_event_envelope_ms``; a chunk is
+    then in the ranges of every kind that holds. Without ``results`` only the
+    annotation is judged, and a chunk is in the ranges of its first kind.
+    """
+    states = resolved_cells(views, events, results)
+    if results is None:
+        states = states.withColumn("problems", F.array("problem"))
+    lines = _nested(states, "view_id", ["state"]).toDF("view_id", "chunk_states")
     lines = lines.withColumn("effective_chunk_count", F.size("chunk_states").cast("bigint"))
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("conflict", "uncovered", "forced")])).alias("kind")
-    kept = lines.select("view_id", "problems", kinds)
-    ranges = grid.true_ranges(F.transform("problems", lambda p: F.coalesce(p == F.col("kind"), F.lit(False))))
-    return lines.drop("problems"), kept.select("view_id", "kind", F.inline(ranges)).toDF("view_id", "kind", "start_chunk", "stop_chunk")
+    lost = states.select("view_id", F.explode("problems").alias("kind"), F.col("chunk").cast("int").alias("chunk")).filter("kind is not null")
+    lost = lost.groupBy("view_id", "kind").agg(F.array_sort(F.collect_list("chunk")).alias("at"))
+    starts = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
+    stops = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
+    ranges = F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("stop")))
+    return lines, lost.select("view_id", "kind", F.inline(ranges)).toDF("view_id", "kind", "start_chunk", "stop_chunk")
 
 
 def chunk_groups(states: Column, texts: Column, audio: Column) -> Column:
