@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from turnloom.plans import pipeline
+from turnloom.plans import pipeline, registry
 
 TOKENS = "array<struct<token_index int, token string, start_ms double, end_ms double, emit_chunk int>>"
 EVENTS = "event_id string, source_id string, channel int, final_state string, speaker_segments_ms array<array<double>>, activity_fallback_candidate boolean, effective_event_envelope_ms array<double>"
@@ -32,3 +32,20 @@ def test_a_chunk_is_in_the_ranges_of_every_kind(spark):
     results = spark.createDataFrame([], f"result_id string, view_id string, tokens {TOKENS}")
     lost = pipeline.build_timelines(views, events, results)[1]
     assert sorted(r[1:] for r in lost.collect()) == [("fallback", 0, 4), ("uncovered", 1, 2)]
+
+
+def _asr(spark, folder, rows):
+    spark.createDataFrame(rows, f"result_id string, view_id string, chunk_count bigint, tokens {TOKENS}").write.parquet(f"{folder}/asr_results.parquet")
+
+
+def test_all_token_faults_come_out(spark, tmp_path):
+    one = lambda token, start, end: (0, token, start, end, 0)
+    _asr(spark, tmp_path, [
+        ("1", "u", 2, [one("a", 160.0, 200.0), one("b", 0.0, 300.0)]),
+        ("2", " V\t", 2, [one("a", 0.0, 312.0)]),  # its view lasts 310 ms
+        ("3", "w", 2, [one("a", 0.0, 321.0)]),  # 1 ms over two chunks is allowed
+        ("4", "x", 2, [one("<|a", 0.0, 322.0)]),
+    ])
+    spark.createDataFrame([("v", 0.31)], "view_id string, duration_seconds double").write.parquet(f"{tmp_path}/target_views.parquet")
+    got = registry.QUERIES["token_contract"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(" V\t", "late", 1), ("u", "disorder", 1), ("x", "control", 1), ("x", "late", 1)]

@@ -257,6 +257,23 @@ def token_faults(spark: SparkSession, folder: str) -> DataFrame:
     return faults.filter("fault in ('untimed', 'reversed')").groupBy("view_id", "fault").agg(F.count("*").alias("results"))
 
 
+@query("""select view_id, fault, count(*) as results from (select view_id, unnest(list_filter([
+  case when len(list_filter(tokens, lambda t: t.start_ms is null or t.end_ms is null or not isfinite(t.start_ms) or not isfinite(t.end_ms))) > 0 then 'untimed' end,
+  case when len(list_filter(tokens, lambda t: t.end_ms < t.start_ms)) > 0 then 'reversed' end,
+  case when len(list_filter(range(1, len(tokens)), lambda i: tokens[i + 1].start_ms < tokens[i].start_ms or tokens[i + 1].end_ms < tokens[i].end_ms)) > 0 then 'disorder' end,
+  case when len(list_filter(tokens, lambda t: t.end_ms > coalesce(seconds * 1000, chunk_count * 160.0::double) + 1)) > 0 then 'late' end,
+  case when len(list_filter(tokens, lambda t: contains(t.token, '<|') or contains(t.token, '|>'))) > 0 then 'control' end], lambda x: x is not null)) as fault
+  from (select result_id, any_value(coalesce(view_id, '')) as view_id, any_value(lower(trim(view_id, chr(9) || ' '))) as k, any_value(chunk_count) as chunk_count, any_value(tokens) as tokens from asr_results group by 1) r
+  left join (select view_id as k, any_value(duration_seconds) as seconds from target_views group by 1) v using (k)) group by all""")
+def token_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Results by view and each of the five faults of their tokens; a recording lasts as its view says, else its chunks."""
+    rows = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("k"), F.coalesce("view_id", F.lit("")).alias("view_id"), "chunk_count", "tokens").dropDuplicates(["result_id"])
+    lasting = _views(spark, folder, "duration_seconds").select(F.col("view_id").alias("k"), "duration_seconds")
+    duration = F.coalesce(F.col("duration_seconds") * 1000, F.col("chunk_count") * 160.0)
+    faults = rows.join(lasting, "k", "left").select("view_id", F.explode(tokens.token_faults(F.col("tokens"), duration)).alias("fault"))
+    return faults.groupBy("view_id", "fault").agg(F.count("*").alias("results"))
+
+
 @query(f"with {_TOK}, " + r"""
 p as (select result_id, emit_chunk, token_index, token, lag(regexp_matches(token, '[A-Za-z0-9]') and not regexp_matches(token, '[\x{4e00}-\x{9fff}]')) over (partition by result_id, emit_chunk order by token_index, token) as prev
   from tok where length(token) > 0)
