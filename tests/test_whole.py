@@ -49,3 +49,11 @@ def test_all_token_faults_come_out(spark, tmp_path):
     spark.createDataFrame([("v", 0.31)], "view_id string, duration_seconds double").write.parquet(f"{tmp_path}/target_views.parquet")
     got = registry.QUERIES["token_contract"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(" V\t", "late", 1), ("u", "disorder", 1), ("x", "control", 1), ("x", "late", 1)]
+
+
+def test_events_belong_to_the_window_of_their_decision(spark):
+    windows = spark.createDataFrame([("v", "w1", 0, 10), ("v", "w2", 10, 20), ("v", "w3", 20, 30)], "view_id string, window_index string, lo int, hi int")
+    given = [("a", [[8, 10]], 10), ("b", [[9, 11]], 11), ("c", [[12, 20]], None), ("d", None, 29), (None, [[0, 9]], 9)]
+    lines = spark.createDataFrame([("v", given)], "view_id string, event_assignments array<struct<event_id string, activity_chunk_ranges array<array<int>>, decision_chunk int>>")
+    got = pipeline.window_events(windows, lines).collect()
+    assert sorted(map(tuple, got)) == [("w1", ["a", "b"]), ("w2", ["a", "b", "c"]), ("w3", ["d"])]

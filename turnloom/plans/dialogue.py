@@ -297,6 +297,20 @@ def window_events(spark: SparkSession, folder: str) -> DataFrame:
     return grid.overlap_pairs(left, right, "view_id").distinct().groupBy(F.col("left_id").alias("window_index")).agg(F.count("*").alias("events"))
 
 
+@query(f"with {_TL}, " + """
+w as (select window_index, view_id, chunk_range[1] as lo, chunk_range[2] as hi from (select window_index, any_value(lower(trim(view_id, chr(9) || ' '))) as view_id, any_value(chunk_range) as chunk_range from windows group by 1)),
+e as (select view_id, unnest(asg) as e from tl),
+a as (select view_id, e.event_id as event_id, unnest(e.activity_chunk_ranges) as r from e),
+m as (select window_index, event_id from w join a on a.view_id = w.view_id and a.r[1] < w.hi and a.r[2] > w.lo and a.r[1] < a.r[2] and w.lo < w.hi
+  union select window_index, e.event_id from w join e on e.view_id = w.view_id and e.decision_chunk >= w.lo and e.decision_chunk < w.hi)
+select window_index, list_sort(list(distinct event_id)) as event_ids from m where event_id is not null group by 1""")
+def window_event_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of each window: their activity overlaps its chunks, or their decision is in one of them."""
+    windows = table(spark, folder, "windows").select("window_index", "view_id", "chunk_range").dropDuplicates(["window_index"])
+    windows = windows.select(clean_id(F.col("view_id")).alias("view_id"), "window_index", F.get("chunk_range", F.lit(0)).alias("lo"), F.get("chunk_range", F.lit(1)).alias("hi"))
+    return pipeline.window_events(windows, table(spark, folder, "timelines").select("view_id", "event_assignments").dropDuplicates(["view_id"]))
+
+
 @query()
 def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk groups of each view packed into windows of at most 1,500: two audio tokens, text, end and state a chunk.

@@ -110,6 +110,22 @@ def build_timelines(views: DataFrame, events: DataFrame, results: DataFrame | No
     return lines, lost.select("view_id", "kind", F.inline(ranges)).toDF("view_id", "kind", "start_chunk", "stop_chunk")
 
 
+def window_events(windows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(window_index, event_ids)``: the sorted events of each window that has any.
+
+    ``windows``: ``view_id``, ``window_index``, ``lo``, ``hi``; ``lines``:
+    ``view_id``, ``event_assignments``. An event belongs to a window if one of its
+    activity ranges overlaps it or its decision chunk is inside.
+    """
+    given = lines.select("view_id", F.explode("event_assignments").alias("e")).filter("e.event_id is not null")
+    decision = F.array("e.decision_chunk", F.col("e.decision_chunk") + 1)
+    ranges = F.concat(F.coalesce("e.activity_chunk_ranges", F.array().cast("array<array<int>>")), F.array(decision))
+    ranges = given.select("view_id", F.col("e.event_id").alias("right_id"), F.explode(ranges).alias("r"))
+    right = ranges.select("view_id", "right_id", F.get("r", F.lit(0)).alias("lo"), F.get("r", F.lit(1)).alias("hi"))
+    met = grid.overlap_pairs(windows.withColumnRenamed("window_index", "left_id"), right, "view_id")
+    return met.groupBy(F.col("left_id").alias("window_index")).agg(F.array_sort(F.collect_set("right_id")).alias("event_ids"))
+
+
 def chunk_groups(states: Column, texts: Column, audio: Column) -> Column:
     """Group text of each chunk; null where the state is, or a part is not allowed."""
     parts = F.arrays_zip(states.alias("s"), texts.alias("t"), audio.alias("a"))
