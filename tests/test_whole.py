@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from turnloom.functions.ids import clean_id
+from turnloom.operators import tokens
 from turnloom.plans import pipeline, registry
 
 TOKENS = "array<struct<token_index int, token string, start_ms double, end_ms double, emit_chunk int>>"
@@ -57,3 +59,13 @@ def test_events_belong_to_the_window_of_their_decision(spark):
     lines = spark.createDataFrame([("v", given)], "view_id string, event_assignments array<struct<event_id string, activity_chunk_ranges array<array<int>>, decision_chunk int>>")
     got = pipeline.window_events(windows, lines).collect()
     assert sorted(map(tuple, got)) == [("w1", ["a", "b"]), ("w2", ["a", "b", "c"]), ("w3", ["d"])]
+
+
+def test_fallback_envelopes_are_evidence(spark, tmp_path):
+    _asr(spark, tmp_path, [("r", "\tV ", 20, [(0, "a", 0.0, 160.0, 0), (1, "b", 1600.0, 1760.0, 10), (2, "c", 1760.0, 1920.0, 11), (3, "d", None, 5.0, 0)]), ("q", "v", 20, [(0, "e", 640.0, 640.0, 3)])])
+    spark.createDataFrame([("v", 20, [True] + [False] * 19)], "view_id string, chunk_count bigint, target_active_by_chunk array<boolean>").write.parquet(f"{tmp_path}/target_views.parquet")
+    views, results = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("target_views", "asr_results"))
+    envelopes = spark.createDataFrame([("v", "x", 7, 9), ("v", "y", 14, 15), ("w", "z", 0, 20)], "view_id string, event_id string, lo int, hi int")
+    heard, pairs = tokens.evidence(results.withColumn("view_id", clean_id(F.col("view_id"))), views, envelopes)
+    assert sorted((r["result_id"], r["place"], r["active"]) for r in heard.collect()) == [("q", 0, False), ("r", 0, True), ("r", 1, False), ("r", 2, False)]
+    assert sorted((r["result_id"], r["place"], r["event_id"]) for r in pairs.collect()) == [("r", 1, "x")]

@@ -50,7 +50,8 @@ def evidence(results: DataFrame, views: DataFrame, envelopes: DataFrame, toleran
     ``chunk_count``, ``target_active_by_chunk``; ``envelopes``: ``view_id``,
     ``event_id``, ``lo``, ``hi`` in chunks. Near is within ``tolerance`` chunks.
     Returns the tokens (``view_id``, ``result_id``, ``place``, ``emit_chunk``,
-    ``active``) and the pairs (``view_id``, ``result_id``, ``place``, ``event_id``).
+    ``active``) and the pairs (``view_id``, ``result_id``, ``place``, ``active``,
+    ``event_id``).
     A token of no length counts, one without finite times from 0 on doesn't.
     """
     timed = lambda t: (t["end_ms"] >= t["start_ms"]) & (t["start_ms"] >= 0) & (t["end_ms"] < float("inf"))
@@ -64,10 +65,10 @@ def evidence(results: DataFrame, views: DataFrame, envelopes: DataFrame, toleran
     joined = results.select("result_id", "view_id", "tokens").join(views.select("view_id", "chunk_count", "target_active_by_chunk"), "view_id")
     rows = joined.select("view_id", "result_id", F.inline(F.array_compact(F.transform("tokens", read))))
     # half of the tolerance is given to either side, so that ranges of no length can meet
-    left = rows.select("view_id", F.struct("result_id", "place").alias("left_id"), (F.col("lo") - tolerance // 2).alias("lo"), (F.col("hi") + tolerance // 2).alias("hi"))
+    left = rows.select("view_id", F.struct("result_id", "place", "active").alias("left_id"), (F.col("lo") - tolerance // 2).alias("lo"), (F.col("hi") + tolerance // 2).alias("hi"))
     wide = tolerance - tolerance // 2
     right = envelopes.select("view_id", F.col("event_id").alias("right_id"), (F.col("lo") - wide).alias("lo"), (F.col("hi") + wide).alias("hi"))
-    pairs = grid.overlap_pairs(left, right, "view_id").select("view_id", "left_id.result_id", "left_id.place", F.col("right_id").alias("event_id"))
+    pairs = grid.overlap_pairs(left, right, "view_id").select("view_id", "left_id.*", F.col("right_id").alias("event_id"))
     return rows.drop("lo", "hi"), pairs
 
 

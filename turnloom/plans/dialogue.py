@@ -609,10 +609,25 @@ def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     """What timelines are built of: views, events, and recognition results."""
     views = _views(spark, folder, "chunk_count", "target_active_by_chunk")
     events = _events(spark, folder, "source_id", "channel", "final_state", "speaker_segments_ms", "activity_fallback_candidate", "effective_event_envelope_ms")
-    results = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("view_id"), "tokens").dropDuplicates(["result_id"])
+    times = F.transform("tokens", lambda t: F.struct(t["start_ms"].alias("start_ms"), t["end_ms"].alias("end_ms")))
+    results = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("view_id"), times.alias("tokens")).dropDuplicates(["result_id"])
     return views, events, results
 
 
+@query(f"with {_EV}, {_SEG}, {_VIEW}, {_FALLBACK}, " + """
+n as (select view_id, list_sort(list(distinct event_id)) as event_ids from pairs group by 1)
+select tt.view_id, count(*) as tokens, count(*) filter (active or (result_id, place) in (select (result_id, place) from pairs)) as evidenced, coalesce(any_value(event_ids), []) as event_ids from tt left join n on n.view_id = tt.view_id group by 1""")
+def fallback_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Timed tokens of each view, those near activity or the envelope of a fallback event, and the fallback events with a token near."""
+    views, events, results = _whole(spark, folder)
+    heard, pairs = tokens.evidence(results, views, pipeline.fallback_envelopes(views, events))
+    counted = heard.groupBy("view_id").agg(F.count("*").alias("tokens"), F.count_if("active").alias("near"))
+    added = F.count_distinct(F.when(~F.col("active"), F.struct("result_id", "place"))).alias("added")
+    found = pairs.groupBy("view_id").agg(added, F.array_sort(F.collect_set("event_id")).alias("event_ids"))
+    evidenced = F.col("near") + F.coalesce("added", F.lit(0))
+    return counted.join(found, "view_id", "left").select("view_id", "tokens", evidenced.alias("evidenced"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids"))
+
+
 @query(f"with {_WHOLE}" + """
 select g.view_id, coalesce(p.kind, x.lo, 'user_idle') as outcome, count(*) as chunks from g left join x on x.view_id = g.view_id and x.chunk = g.chunk
   left join (select view_id, chunk, arg_min(kind, case kind when 'fallback' then 1 when 'outside' then 2 when 'uncovered' then 3 else 4 end) as kind from q group by all) p on p.view_id = g.view_id and p.chunk = g.chunk group by all""")
