@@ -1,5 +1,9 @@
 """Jobs done whole: what the reviews found missing."""
 
+import os
+
+import pytest
+from oracle import FOLDER
 from pyspark.sql import functions as F
 
 from turnloom.functions.ids import clean_id
@@ -69,3 +73,20 @@ def test_fallback_envelopes_are_evidence(spark, tmp_path):
     heard, pairs = tokens.evidence(results.withColumn("view_id", clean_id(F.col("view_id"))), views, envelopes)
     assert sorted((r["result_id"], r["place"], r["active"]) for r in heard.collect()) == [("q", 0, False), ("r", 0, True), ("r", 1, False), ("r", 2, False)]
     assert sorted((r["result_id"], r["place"], r["event_id"]) for r in pairs.collect()) == [("r", 1, "x")]
+
+
+def test_export_returns_events_and_what_is_over_the_budget(spark):
+    given = [("a", [[0, 1]], 1), ("b", [[1, 2]], 2)]
+    row = ("v", "s", 0, ["user_idle", None, "user_idle", "user_idle"], ["ab", "", "x" * 30, ""], [[i, i] for i in range(4)], [False] * 4, [False] * 4, given)
+    schema = "view_id string, source_id string, channel int, chunk_states array<string>, chunk_texts array<string>, chunk_audio array<array<int>>, other_active_by_chunk array<boolean>, overlap_by_chunk array<boolean>, event_assignments array<struct<event_id string, activity_chunk_ranges array<array<int>>, decision_chunk int>>"
+    lines = spark.createDataFrame([row], schema)
+    got = {tuple(r["chunk_range"]): r["event_ids"] for r in pipeline.export_sequences(lines, 30).collect()}
+    assert got == {(0, 1): ["a"], (3, 4): []}
+    assert [tuple(r) for r in pipeline.oversized_chunks(lines, 30).collect()] == [("v", 2, 36)]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_exported_windows_hold_sequences_and_events(spark):
+    got = registry.QUERIES["exported_windows"](spark, FOLDER)
+    assert {"sequence", "event_ids"} <= set(got.columns)
+    assert got.filter("sequence is null or event_ids is null").count() == 0

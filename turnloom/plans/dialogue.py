@@ -645,15 +645,28 @@ def view_quarantines(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.build_timelines(*_whole(spark, folder))[1]
 
 
-@query()
-def exported_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences packed from the stored timelines; the audio tokens of chunk c are 2c and 2c + 1 (there are none stored)."""
+def _export_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored timelines as lines of the export; the audio tokens of chunk c are 2c and 2c + 1 (there are none stored)."""
     lines = table(spark, folder, "timelines").dropDuplicates(["view_id"])
     audio = F.transform("chunk_states", lambda s, i: F.array(F.pmod(i * 2, F.lit(51_866)), F.pmod(i * 2 + 1, F.lit(51_866))))
     other = F.transform("other_active_count_by_chunk", lambda n: n > 0)
-    lines = lines.select("view_id", "source_id", F.col("target_channel").alias("channel"), "overlap_by_chunk",
-                         F.transform("chunk_states", _state_name).alias("chunk_states"), F.col("chunk_asr_targets").alias("chunk_texts"), audio.alias("chunk_audio"), other.alias("other_active_by_chunk"))
-    return pipeline.export_sequences(lines, set_name="dlgset").drop("sequence")
+    return lines.select("view_id", "source_id", F.col("target_channel").alias("channel"), "overlap_by_chunk", "event_assignments",
+                        F.transform("chunk_states", _state_name).alias("chunk_states"), F.col("chunk_asr_targets").alias("chunk_texts"), audio.alias("chunk_audio"), other.alias("other_active_by_chunk"))
+
+
+@query()
+def exported_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences packed from the stored timelines, with the events of each window."""
+    return pipeline.export_sequences(_export_lines(spark, folder), set_name="dlgset")
+
+
+@query(f"with {_TL}, " + r"""
+c as (select view_id, unnest(states) as s, coalesce(unnest(txt), '') as t, unnest(range(len(states))) as i from tl)
+select view_id, i::int as chunk, (6 + length(t))::int as cost from c where regexp_replace(lower(trim(regexp_replace(s, '<\||\|>', '', 'g'))), '[\s_-]+', '_', 'g') in ('user_idle', 'user_nonidle', 'user_complete', 'user_incomplete', 'user_backchannel')
+  and not contains(t, '<|') and not contains(t, '|>') and 6 + length(t) > 1500""")
+def exported_oversized(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that the export leaves out as over the budget alone."""
+    return pipeline.oversized_chunks(_export_lines(spark, folder))
 
 
 def _state_name(raw):

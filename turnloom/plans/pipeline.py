@@ -132,28 +132,48 @@ def chunk_groups(states: Column, texts: Column, audio: Column) -> Column:
     return F.transform(parts, lambda x: packing.group_text(F.get(x["a"], F.lit(0)), F.get(x["a"], F.lit(1)), F.coalesce(x["t"], F.lit("")), x["s"]))
 
 
+def _costed(lines: DataFrame, measure: Callable[[Column], Column] | None) -> DataFrame:
+    """Lines with ``groups``, and ``costs``: the length of each, null where there is none."""
+    measure = measure or (lambda g: F.length(F.regexp_replace(g, r"<\|[^<|>]+\|>", "x")))
+    grouped = lines.withColumn("groups", chunk_groups(F.col("chunk_states"), F.col("chunk_texts"), F.col("chunk_audio")))
+    return grouped.withColumn("costs", F.transform("groups", lambda g: F.when(g.isNotNull(), measure(g))))
+
+
+def oversized_chunks(lines: DataFrame, budget: int = 1_500, measure: Callable[[Column], Column] | None = None, prefix_cost: int = 2) -> DataFrame:
+    """``(view_id, chunk, cost)`` of the chunks that :func:`export_sequences` leaves out as over the budget alone.
+
+    ``cost`` is that of the group and the prefix. Chunks without a group aren't among them.
+    """
+    costed = _costed(lines, measure).select("view_id", "costs", F.explode(packing.oversized(F.col("costs"), budget, prefix_cost)).alias("chunk"))
+    return costed.select("view_id", "chunk", (F.get("costs", F.col("chunk")) + prefix_cost).alias("cost"))
+
+
 def export_sequences(lines: DataFrame, budget: int = 1_500, measure: Callable[[Column], Column] | None = None, prefix_cost: int = 2, set_name: str = "set") -> DataFrame:
     """Packed windows of each view with their sequence and metadata.
 
     ``lines``: ``view_id``, ``source_id``, ``channel``, ``chunk_states``,
     ``chunk_texts``, ``chunk_audio`` (two tokens a chunk), ``other_active_by_chunk``,
     ``overlap_by_chunk``. A chunk without a group ends a window and is left out,
-    as is one over the budget alone. ``measure`` gives a group's length, by
-    default the number of control tokens plus other characters.
+    as is one over the budget alone (:func:`oversized_chunks`). ``measure`` gives a
+    group's length, by default the number of control tokens plus other characters.
+    Lines with ``event_assignments`` give each window its ``event_ids``.
     """
-    measure = measure or (lambda g: F.length(F.regexp_replace(g, r"<\|[^<|>]+\|>", "x")))
-    grouped = lines.withColumn("groups", chunk_groups(F.col("chunk_states"), F.col("chunk_texts"), F.col("chunk_audio")))
-    cost = F.transform("groups", lambda g: F.coalesce(measure(g), F.lit(budget + 1)))
+    grouped = _costed(lines, measure)
+    cost = F.transform("costs", lambda c: F.coalesce(c, F.lit(budget + 1)))
     keep = ["view_id", "source_id", "channel", "groups", "other_active_by_chunk", "overlap_by_chunk"]
     windows = grouped.select(*keep, F.inline(packing.greedy_windows(cost, budget, prefix_cost)))
     lo, size = F.col("start"), F.col("stop") - F.col("start")
     part = lambda c: F.slice(F.col(c), lo + 1, size)
     true = lambda c: F.size(F.filter(part(c), lambda x: x))
-    return windows.select(
+    made = windows.select(
         ids.window_index(set_name, F.col("source_id"), F.col("channel"), F.col("start"), F.col("stop")).alias("window_index"), "view_id", "source_id",
         F.array("start", "stop").alias("chunk_range"), size.alias("chunk_count"), F.col("cost").cast("int").alias("tokenized_length"),
         true("other_active_by_chunk").alias("other_active_chunk_count"), true("overlap_by_chunk").alias("overlap_chunk_count"),
         F.concat(F.lit(packing.PREFIX), F.array_join(part("groups"), "")).alias("sequence"),
     )
-
-
+    if "event_assignments" not in lines.columns:
+        return made
+    spans = made.select("view_id", "window_index", F.get("chunk_range", F.lit(0)).alias("lo"), F.get("chunk_range", F.lit(1)).alias("hi"))
+    found = window_events(spans, lines.select("view_id", "event_assignments"))
+    none = F.array().cast("array<string>")
+    return made.join(found, "window_index", "left").withColumn("event_ids", F.coalesce("event_ids", none))
