@@ -90,3 +90,10 @@ def test_exported_windows_hold_sequences_and_events(spark):
     got = registry.QUERIES["exported_windows"](spark, FOLDER)
     assert {"sequence", "event_ids"} <= set(got.columns)
     assert got.filter("sequence is null or event_ids is null").count() == 0
+
+
+def test_unreadable_states_are_faults(spark, tmp_path):
+    rows = [("a", ["USER-Idle", "<|user_complete|>"]), ("b", ["user_idle", None]), ("c", ["uzer"]), ("d", [])]
+    spark.createDataFrame(rows, "view_id string, chunk_states array<string>").write.parquet(f"{tmp_path}/timelines.parquet")
+    got = registry.QUERIES["trace_state_faults"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("empty", 1), ("state", 2)]

@@ -682,3 +682,14 @@ def trace_contract(spark: SparkSession, folder: str) -> DataFrame:
     step = lambda s, i: F.struct(names(s).alias("state"), F.array(i * F.lit(0.16), (i + 1) * F.lit(0.16)).alias("timestamp"))
     faults = contracts.trace_faults(F.transform("chunk_states", step))
     return lines.agg(F.count("*").alias("traces"), F.count_if(F.size(faults) > 0).alias("faulty"))
+
+
+@query(f"with {_TL}, " + """f as (select view_id, unnest(list_filter([case when len(states) = 0 then 'empty' end,
+  case when len(list_filter(states, lambda s: s is null or not regexp_matches(lower(s), 'idle|complete|backchannel|^unknown$'))) > 0 then 'state' end], lambda x: x is not null)) as fault from tl where states is not null)
+select fault, count(*) as traces from f group by 1""")
+def trace_state_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Timelines read as traces, by fault; null and unreadable states are faults. They hold no timestamps, so ``time`` can't be one."""
+    lines = table(spark, folder, "timelines").select("view_id", "chunk_states").dropDuplicates(["view_id"]).filter("chunk_states is not null")
+    names = lambda s: F.when(s.rlike("(?i)nonidle"), "nonidle").when(s.rlike("(?i)idle"), "idle").when(s.rlike("(?i)incomplete"), "wait").when(s.rlike("(?i)complete"), "speak").when(s.rlike("(?i)backchannel"), "backchannel").when(s.rlike("(?i)^unknown$"), "unknown")
+    step = lambda s, i: F.struct(names(s).alias("state"), F.array(i * F.lit(0.16), (i + 1) * F.lit(0.16)).alias("timestamp"))
+    return lines.select(F.explode(contracts.trace_faults(F.transform("chunk_states", step))).alias("fault")).groupBy("fault").agg(F.count("*").alias("traces"))
