@@ -97,3 +97,11 @@ def test_unreadable_states_are_faults(spark, tmp_path):
     spark.createDataFrame(rows, "view_id string, chunk_states array<string>").write.parquet(f"{tmp_path}/timelines.parquet")
     got = registry.QUERIES["trace_state_faults"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("empty", 1), ("state", 2)]
+
+
+def test_labels_of_ids_padded_with_tabs_count(spark, tmp_path):
+    spark.createDataFrame([("e", None), ("f", None)], "event_id string, official_state string").write.parquet(f"{tmp_path}/final_events.parquet")
+    given = [("1", "\tE ", "incomplete", 1), ("2", "f", "complete", 1), ("3", "F\t", "backchannel", 2), ("4", "\t", "wait", 3)]
+    spark.createDataFrame(given, "label_id string, event_id string, label_state string, ingested_at int").write.parquet(f"{tmp_path}/state_labels.parquet")
+    got = registry.QUERIES["label_origins"](spark, str(tmp_path)).collect()
+    assert sorted((r["state"], r["origin"], r["events"]) for r in got) == [("backchannel", "substitute", 1), ("incomplete", "substitute", 1)]

@@ -693,3 +693,12 @@ def trace_state_faults(spark: SparkSession, folder: str) -> DataFrame:
     names = lambda s: F.when(s.rlike("(?i)nonidle"), "nonidle").when(s.rlike("(?i)idle"), "idle").when(s.rlike("(?i)incomplete"), "wait").when(s.rlike("(?i)complete"), "speak").when(s.rlike("(?i)backchannel"), "backchannel").when(s.rlike("(?i)^unknown$"), "unknown")
     step = lambda s, i: F.struct(names(s).alias("state"), F.array(i * F.lit(0.16), (i + 1) * F.lit(0.16)).alias("timestamp"))
     return lines.select(F.explode(contracts.trace_faults(F.transform("chunk_states", step))).alias("fault")).groupBy("fault").agg(F.count("*").alias("traces"))
+
+
+@query(ORACLE["label_precedence"].replace("lower(trim(event_id))", "lower(trim(event_id, chr(9) || ' '))"))
+def label_origins(spark: SparkSession, folder: str) -> DataFrame:
+    """State of each event by precedence of sources, counted; label ids are cleaned of tabs too."""
+    given = table(spark, folder, "state_labels").select(clean_id(F.col("event_id")).alias("event_id"), "label_state", "ingested_at", "label_id").filter("event_id is not null")
+    last = labels.latest(given, "event_id", ["label_state"], ["ingested_at", "label_id"])
+    state, origin = labels.precedence(F.col("official_state"), F.col("label_state"))
+    return _events(spark, folder, "official_state").join(last, "event_id", "left").groupBy(state.alias("state"), origin.alias("origin")).agg(F.count("*").alias("events"))
