@@ -59,18 +59,37 @@ def test_empty_and_parts(spark):
     assert [tuple(r) for r in interval_gaps(df, ["k"]).collect()] == [("a", 5, 9)]
 
 
-def test_too_long_does_not_count(spark):
-    df = spark.createDataFrame([("a", 0, 2**50, ""), ("a", 1, 2, "")], SCHEMA)
-    assert [tuple(r) for r in merge_intervals(df, ["k"]).collect()] == [("a", 1, 2)]
+def test_any_length_and_place(spark):
+    top, low = 2**63 - 1, -(2**63)
+    rows = [("a", 0, 2**36 + 2, ""), ("a", 5, 9, ""), ("a", 2**36 + 2, 2**36 + 4, ""), ("a", 2**60, 2**62, ""), ("a", 2**61, 2**61 + 1, "")]
+    rows += [("b", low, low + 2, ""), ("b", low + 3, top - 1, ""), ("b", top - 1, top, ""), ("c", low, top, ""), ("c", 5, 6, ""), ("d", -5, 2**50, ""), ("d", 2**50 + 1, 2**50 + 2, "")]
+    for block in (8, 2**20):
+        assert run(spark, rows, block) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_wide_blocks(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(300):
+        a = rng.randrange(-4000, 4000)
+        rows.append((rng.choice("ab"), a, a + rng.choice([1, 3, 9, 30, 700 if rng.random() < 0.05 else 2]), "x"))
+    got = [tuple(r) for r in periods_and_gaps(spark.createDataFrame(rows, SCHEMA), ["k"], 4, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_key_of_any_name(spark):
+    df = spark.createDataFrame([("a", 0, 5), ("a", 9, 10)], "block string, start bigint, stop bigint")
+    assert sorted(tuple(r) for r in periods_and_gaps(df, ["block"]).collect()) == [("a", "gap", 5, 9), ("a", "period", 0, 5), ("a", "period", 9, 10)]
 
 
 def test_bounds(spark):
     from turnloom.functions.bounds import valid_pair, valid_pairs
 
     nan, inf = float("nan"), float("inf")
-    cases = [[0.0, 160.0], [159.9999999, 161.0000001], [5.0], [], None, [3.0, 3.0], [3.2, 3.4], [9.0, 1.0], [nan, 4.0], [1.0, inf], [None, 4.0], [1.0, 1e300]]
+    cases = [[0.0, 160.0], [159.9999999, 161.0000001], [5.0], [], None, [3.0, 3.0], [3.2, 3.4], [9.0, 1.0], [nan, 4.0], [1.0, inf], [None, 4.0], [1.0, 1e300], [-0.5, 0.49999999999999994], [2.0**60, 2.0**61]]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, p array<double>")
     got = {r[0]: r[1] and tuple(r[1]) for r in df.select("i", valid_pair(F.col("p"))).collect()}
-    assert got == {0: (0, 160), 1: (160, 161), **{i: None for i in range(2, 12)}}
+    assert got == {0: (0, 160), 1: (160, 161), **{i: None for i in range(2, 11)}, 11: (1, 2**63 - 1024), 12: (-1, 0), 13: (2**60, 2**61)}
     one = spark.createDataFrame([(cases,), (None,)], "p array<array<double>>")
-    assert [len(r[0]) for r in one.select(valid_pairs(F.col("p"))).collect()] == [2, 0]
+    assert [len(r[0]) for r in one.select(valid_pairs(F.col("p"))).collect()] == [5, 0]

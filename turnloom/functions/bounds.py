@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Whole numbers up to here are exact in a DOUBLE; bounds beyond are not usable as numbers.
-EXACT = 2**53
+#: The largest double within BIGINT: bounds further out count as this far out.
+FARTHEST = 2.0**63 - 1024
 CHUNK_MS = 160
 
 
 def whole(bound: Column) -> Column:
-    """A bound rounded to a BIGINT; null for null, NaN, infinite and inexact (over 2**53) values."""
+    """A bound rounded (halves away from 0) to a BIGINT; null for null, NaN and infinite values.
+
+    A finite bound outside of the BIGINT range is set to the nearest end of it.
+    """
     x = bound.cast("double")
-    return F.when((F.abs(x) <= F.lit(float(EXACT))) & ~F.isnan(x), F.round(x).cast("bigint"))
+    near = F.least(F.greatest(x, F.lit(-FARTHEST)), F.lit(FARTHEST))
+    return F.when(F.abs(x) < float("inf"), F.round(near).cast("bigint"))  # NaN compares as larger
 
 
 def valid_pair(pair: Column) -> Column:

@@ -1,106 +1,103 @@
 """Merging overlapping intervals into continuous periods, and the gaps between those.
 
 How it holds at scale. A key (view, channel, object) may own a third of all
-rows, so no step puts a whole key into one task. Intervals are cut at the
-borders of fixed blocks of the axis; per (key, block) only one row per start
-survives a combinable ``max(stop)``, which bounds every sorted group by the
-block width whatever the input. Spark's ``session_window`` with each row's own
-duration then merges within a block. A session that touches no border of its
-block is final. Only the first and last session of each block (two rows per
-block) go on to the pass over a whole key, where those that touch across a
-border are joined.
+rows, so no step puts a whole key into one task, and an interval of any length
+is one row: it lies in the block of the axis in which it *starts* and is never
+cut into pieces. Per (key, block) only one row per start survives a combinable
+``max(stop)``. Spark's ``session_window`` with each row's own duration then
+merges what overlaps within a block. What reaches into a block from earlier ones
+is a running ``max(stop)`` over the blocks before it, worked out in two levels:
+blocks within a wide block, wide blocks within the key. A session that begins
+beyond all that was reached so far opens a period and closes a gap; touching
+ones don't, which the sessions themselves leave apart.
+
+The axis has 2**64 units, a block 2**20 and a wide block 2**42: at most 2**22
+rows of a key are ever sorted together, whatever the input. The sessions, and
+then the periods' starts, are written once to the shared folder, as each feeds
+several branches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Axis units per block: at most so many rows are ever sorted together.
-BLOCK = 65_536
-#: Longest interval that counts, in blocks (over two years of milliseconds): a bound on the pieces of one row.
-LONGEST = 2**20
+from turnloom.session import cut
 
+#: Axis units per block, and blocks per wide block; powers of two.
+BLOCK = 2**20
+WIDE = 2**22
 
-def _pieces(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    first, last = (F.expr(f"({x} - pmod({x}, {block})) div {block}") for x in ("start", "(stop - 1)"))
-    whole = first == last
-    blocks = F.when(whole, F.array(first)).otherwise(F.sequence(first, last))
-    low = F.col("block") * block
-    cut = rows.select(*keys, "start", "stop", F.explode(blocks).alias("block"))
-    return cut.select(
-        *keys, "block", F.greatest("start", low).alias("start"), F.least(F.col("stop"), low + block).alias("stop")
-    )
 
+def _sessions(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """One row per session of a (key, block); one axis unit is a second of the session window."""
+    bits = block.bit_length() - 1
+    starts = rows.groupBy(*keys, F.shiftright("start", bits).alias("block"), "start").agg(F.max("stop").alias("stop"))
+    low = F.shiftleft("block", bits)
+    inside = F.least(F.col("stop") - 1, low + (block - 1)) - F.col("start") + 1
+    placed = starts.select(*keys, "block", "start", "stop", F.timestamp_seconds(F.col("start") - low).alias("at"), inside.cast("decimal(18,6)").alias("inside"))
+    lasting = F.expr("make_interval(0, 0, 0, 0, 0, 0, inside)")
+    window = F.session_window("at", lasting)
+    merged = placed.groupBy(*keys, "block", window).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.drop("session_window")
 
-def _sessions(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per session of a (key, block); one axis unit is a microsecond of the session window."""
-    starts = pieces.groupBy(*keys, "block", "start").agg(F.max("stop").alias("stop"))
-    lasting = F.expr("make_interval(0, 0, 0, 0, 0, 0, cast((stop - start) / 1000000 as decimal(18, 6)))")
-    window = F.session_window(F.timestamp_micros("start"), lasting)
-    return (
-        starts.groupBy(*keys, "block", window)
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-        .drop("session_window")
-    )
 
+def _carried(blocks: DataFrame, keys: list[str], wide: int) -> DataFrame:
+    """``(keys, block, carry)``: the greatest ``v`` of the earlier blocks of the key, for one row per (key, block)."""
+    blocks = blocks.withColumn("wide", F.shiftright("block", wide.bit_length() - 1))
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = blocks.select(*keys, "wide", "block", F.max("v").over(earlier([*keys, "wide"], "block")).alias("near"))
+    far = blocks.groupBy(*keys, "wide").agg(F.max("v").alias("v"))
+    far = far.select(*keys, "wide", F.max("v").over(earlier(keys, "wide")).alias("far"))
+    return near.join(far, [*keys, "wide"]).select(*keys, "block", F.greatest("near", "far").alias("carry"))
 
-def periods_and_gaps(intervals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+
+def periods_and_gaps(intervals: DataFrame, keys: list[str], block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Continuous periods of each key's intervals, and the gaps between neighbouring periods.
 
     ``intervals`` has the key columns and BIGINT ``start`` and ``stop``
-    (half-open, within +-2**53); other columns are ignored. Returns the keys,
+    (half-open, any values); other columns are ignored. Returns the keys,
     ``kind`` (``period`` or ``gap``), ``start_at`` and ``stop_at``, each row once.
 
-    Overlapping, nested, repeated and touching intervals belong together.
-    Rows with a null key, a null bound, ``stop <= start`` or a length of over
-    ``LONGEST`` blocks (no recording lasts so long) don't count. A key
-    without valid intervals gives no row, one with a single period no gap; an
-    empty table gives an empty result.
+    Overlapping, nested, repeated and touching intervals belong together,
+    however long they are. Rows with a null key, a null bound or ``stop <=
+    start`` don't count. A key without valid intervals gives no row, one with a
+    single period no gap; an empty table gives an empty result.
     """
-    good = (F.col("stop") > F.col("start")) & (F.col("stop") - F.col("start") <= LONGEST * block)
+    if block & (block - 1) or wide & (wide - 1) or min(block, wide) < 2:
+        raise ValueError("block and wide are powers of two")
+    ks = [f"k{i}" for i in range(len(keys))]
+    good = F.col("stop") > F.col("start")
     for key in keys:
         good &= F.col(key).isNotNull()
-    sessions = _sessions(_pieces(intervals.filter(good).select(*keys, "start", "stop"), keys, block), keys)
-
-    inner = Window.partitionBy(*keys, "block").orderBy("start")
-    placed = sessions.select(
-        *keys, "block", "start", "stop",
-        F.lag("stop").over(inner).alias("before"), F.lead("start").over(inner).alias("after"),
-    )
-    # session_window leaves sessions apart that only touch: here they are one
-    opens, closes = F.col("before").isNull() | (F.col("before") < F.col("start")), F.col("after").isNull() | (F.col("after") > F.col("stop"))
-    placed = placed.withColumn("opens", opens).withColumn("closes", closes)
-    run = Window.partitionBy(*keys, "block").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("from", F.max(F.when(F.col("opens"), F.col("start"))).over(run)).filter("closes")
-    low, high = F.col("block") * block, (F.col("block") + 1) * block
-    at_low, at_high = F.col("from") == low, F.col("stop") == high
-
-    def row(kind: str, start: Column, stop: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start_at"), stop.alias("stop_at"))
-
-    found = F.array(
-        F.when(~at_low & ~at_high, row("period", F.col("from"), F.col("stop"))),
-        F.when(F.col("after").isNotNull(), row("gap", F.col("stop"), F.col("after"))),
-    )
-    within = placed.select(*keys, F.explode(F.array_compact(found)).alias("x")).select(*keys, "x.*")
-
-    by_block = Window.partitionBy(*keys, "block")
-    ends = placed.withColumn("head", F.min("from").over(by_block) == F.col("from")).withColumn("tail", F.col("after").isNull())
-    ends = ends.filter(F.col("head") | F.col("tail")).select(
-        *keys, "block", F.col("from").alias("start"), "stop", (at_low | at_high).alias("border")
-    )
-    along = Window.partitionBy(*keys).orderBy("start")
-    ends = ends.withColumn("joins", (F.lag("stop").over(along) == F.col("start")) & (F.lag("block").over(along) != F.col("block")))
-    ends = ends.withColumn("next", F.lead("start").over(along)).withColumn("ahead", F.lead("block").over(along))
-    ends = ends.withColumn("since", F.max(F.when(~F.coalesce("joins", F.lit(False)), F.col("start"))).over(along))
-    ends = ends.withColumn("leaves", F.col("next").isNull() | (F.col("next") != F.col("stop")) | (F.col("ahead") == F.col("block")))
-    found = F.array(
-        F.when(F.col("border") & F.col("leaves"), row("period", F.col("since"), F.col("stop"))),
-        F.when((F.col("ahead") != F.col("block")) & (F.col("next") > F.col("stop")), row("gap", F.col("stop"), F.col("next"))),
-    )
-    across = ends.select(*keys, F.explode(F.array_compact(found)).alias("x")).select(*keys, "x.*")
-    return within.unionByName(across)
+    rows = intervals.filter(good).select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+    along, whole = Window.partitionBy(*ks, "block").orderBy("start"), Window.partitionBy(*ks, "block")
+    first = F.lag("start").over(along).isNull().alias("first")
+    so_far = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("so_far")
+    sessions = cut(_sessions(rows, ks, block).select(*ks, "block", "start", "stop", so_far, first, F.max("stop").over(whole).alias("top")))
+
+    carried = _carried(sessions.filter("first").select(*ks, "block", F.col("top").alias("v")), ks, wide)
+    reached = sessions.join(carried, [*ks, "block"]).select(*ks, "block", "start", F.greatest("so_far", "carry").alias("reach"))
+    opens = reached.filter("reach is null or start > reach")
+    opens = cut(opens.select(
+        *ks, "block", "start", "reach", first, F.max("start").over(whole).alias("top"),
+        F.lead("start").over(along).alias("next"), F.lead("reach").over(along).alias("end"),
+    ))
+
+    def pair(of: DataFrame, start: str, stop: str, after: str) -> DataFrame:
+        """A period, and the gap up to the start of the next one."""
+        row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("start_at"), F.col(b).alias("stop_at"))
+        return of.select(*ks, F.inline(F.array(row("period", start, stop), row("gap", stop, after))))
+
+    heads = opens.filter("first")
+    since = _carried(heads.select(*ks, "block", F.col("top").alias("v")), ks, wide)
+    across = heads.filter("reach is not null").select(*ks, "block", "reach", "start").join(since, [*ks, "block"])
+    # the last period of a key has no gap after it
+    none = F.lit(None).cast("bigint")
+    last = heads.select(*ks, F.col("top").alias("start"), none.alias("stop")).unionByName(sessions.filter("first").select(*ks, none.alias("start"), F.col("top").alias("stop")))
+    last = last.groupBy(*ks).agg(F.lit("period").alias("kind"), F.max("start").alias("start_at"), F.max("stop").alias("stop_at"))
+    found = pair(opens.filter("next is not null"), "start", "end", "next").unionByName(pair(across, "carry", "reach", "start")).unionByName(last)
+    return found.toDF(*keys, "kind", "start_at", "stop_at")
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:

@@ -15,13 +15,13 @@ from turnloom.session import table
 def activity_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """(view_id, basis, start, stop) of all valid intervals: ``ms`` from events, ``chunk`` from timelines."""
     events = table(spark, folder, "final_events")
-    segments = valid_pairs(F.col("speaker_segments_ms"))
-    envelope = F.array_compact(F.array(valid_pair(F.col("effective_event_envelope_ms"))))
-    chosen = F.when((F.size(segments) == 0) & F.col("activity_fallback_candidate"), envelope).otherwise(segments)
-    spoken = events.select(view_id(clean_id(F.col("source_id")), F.col("channel")).alias("view_id"), F.lit("ms").alias("basis"), F.explode(chosen).alias("x"))
+    bare = F.col("activity_fallback_candidate") & (F.size(valid_pairs(F.col("speaker_segments_ms"))) == 0)
+    chosen = F.when(bare, F.array("effective_event_envelope_ms")).otherwise(F.col("speaker_segments_ms"))
+    spoken = events.select(view_id(clean_id(F.col("source_id")), F.col("channel")).alias("view_id"), F.lit("ms").alias("basis"), F.explode(chosen).alias("pair"))
     lines = table(spark, folder, "timelines").select(clean_id(F.col("view_id")).alias("view_id"), F.explode("event_assignments.activity_chunk_ranges").alias("ranges"))
-    active = lines.select("view_id", F.lit("chunk").alias("basis"), F.explode(valid_pairs(F.col("ranges"))).alias("x"))
-    return spoken.unionByName(active).select("view_id", "basis", "x.start", "x.stop")
+    active = lines.select("view_id", F.lit("chunk").alias("basis"), F.explode("ranges").alias("pair"))
+    rows = [x.select("view_id", "basis", valid_pair(F.col("pair")).alias("x")) for x in (spoken, active)]
+    return rows[0].unionByName(rows[1]).filter("x is not null").select("view_id", "basis", "x.start", "x.stop")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

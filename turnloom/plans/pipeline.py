@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import ids
 from turnloom.functions.bounds import chunk_range, valid_pair, valid_pairs
 from turnloom.operators import grid, packing, timeline, tokens
+from turnloom.session import cut
 
 
 def _nested(cells: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -73,9 +74,9 @@ def resolved_cells(views: DataFrame, events: DataFrame, results: DataFrame | Non
     forced = None
     if results is not None:
         # both are small and read several times over
-        envelopes = fallback_envelopes(views, events).checkpoint()
+        envelopes = cut(fallback_envelopes(views, events))
         heard, pairs = tokens.evidence(results, views, envelopes)
-        pairs = pairs.checkpoint()
+        pairs = cut(pairs)
         chunks = envelopes.filter("lo < hi").select("view_id", "event_id", F.explode(F.expr("sequence(lo, hi - 1)")).alias("chunk"))
         proven = pairs.select("event_id").distinct()
         cells = cells.unionByName(chunks.join(proven, "event_id", "left_semi").select("view_id", "event_id", "chunk"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.session import ensure_checkpoint_dir
+from turnloom.session import new_folder
 
 
 def tumbling(rows: DataFrame, at: str, width: str, keys: list[str], value: str = "value") -> DataFrame:
@@ -41,14 +39,14 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def replayed_tumbling(spark: SparkSession, path: str, at: str, width: str, keys: list[str]) -> DataFrame:
+def replayed_tumbling(spark: SparkSession, path: str, at: str, width: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run :func:`tumbling` as a stream over all files of a table and return what it wrote.
 
     Complete mode writes the state of all windows, so nothing waits behind a
-    watermark. State and result lie in the shared checkpoint folder.
+    watermark. State and result lie in the shared folder; a run that names the
+    ``folder`` of an earlier one goes on from its state and reads new files only.
     """
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/replay-{uuid.uuid4().hex}"
+    base = folder or new_folder(spark, "replay")
     result = tumbling(stream_of(spark, path), at, width, keys)
 
     def write(batch: DataFrame, _: int) -> None:
