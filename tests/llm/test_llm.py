@@ -96,18 +96,27 @@ def test_nearest_random(spark):
     for i in range(150):
         a = rng.randrange(0, 10_000)
         spans.append((rng.choice("abc"), f"e{rng.randrange(60)}", float(a), float(a + rng.choice([0, 1, 30, 300, 3000])), 1))
-    spans += spans[:30] + [("a", None, 1.0, 2.0, 1), ("a", "n", float("nan"), 2.0, 1), ("a", "r", 9.0, 2.0, 1), ("a", "long", 0.0, 1e12, 1)]
+    spans += spans[:30] + [("a", None, 1.0, 2.0, 1), ("a", "n", float("nan"), 2.0, 1), ("a", "r", 9.0, 2.0, 1), ("a", "long", 0.0, 2.0**31 + 1, 1), ("b", "longer", 9000.0, 2.0**45, 1), ("b", "far", -(2.0**60), -(2.0**58), 1), ("a", "huge", 2.0**40, 2.0**62, 1)]
+    points += [(e, 1000 + k, t, "c") for e in "ab" for k, t in enumerate([2.0**31 + 100, 2.0**31 + 200, 2.0**45 + 1, -(2.0**59), -(2.0**57), 2.0**61 + 7, 1e300, 2.0**33])]
     got = nearest.nearest_intervals(spark.createDataFrame(points, "entity string, point int, at double, item string"), spark.createDataFrame(spans, "entity string, item string, start double, stop double, at int"), 160.0)
     expected = set()
     for e, p, at, _ in points:
         if e is None or at is None or at != at:
             continue
-        near = [(max(s - at, at - t, 0.0), s, i) for x, i, s, t, _ in spans if x == e and i and t >= s and t - s <= nearest.LONGEST]
+        near = [(max(s - at, at - t, 0.0), s, i) for x, i, s, t, _ in spans if x == e and i and t >= s]
         best = min(near, default=None)
         if best and best[0] <= 160:
             expected.add((e, p, at, best[2], best[0]))
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == expected
+    short = [x for x in spans if x[3] - x[2] < 5000]
+    few = nearest.nearest_intervals(spark.createDataFrame(points, "entity string, point int, at double, item string"), spark.createDataFrame(short, "entity string, item string, start double, stop double, at int"), 160.0)
+    expected = set()
+    for e, p, at, _ in points:
+        best = min(((max(s - at, at - t, 0.0), s, i) for x, i, s, t, _ in short if at is not None and at == at and x == e and i and t >= s), default=None)
+        if best and best[0] <= 160:
+            expected.add((e, p, at, best[2], best[0]))
+    assert {tuple(r) for r in few.collect()} == expected
 
 
 def test_nearest_ties_and_empty(spark):

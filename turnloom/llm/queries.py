@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.bounds import valid_pairs
+from turnloom.functions.bounds import valid_pair
 from turnloom.functions.ids import clean_id, view_id
 from turnloom.llm import groups, leakage, nearest, oracle, runs, spam, splitting, tokenizer
 from turnloom.session import table
@@ -82,7 +82,8 @@ def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     tokens = tokens.select("entity", F.col("t.token_index").alias("point"), at.alias("at"))
     events = table(spark, folder, "final_events")
     entity = view_id(clean_id(F.col("source_id")), F.col("channel")).alias("entity")
-    segments = events.select(entity, F.col("event_id").alias("item"), F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x"))
+    segments = events.select(entity, F.col("event_id").alias("item"), F.explode("speaker_segments_ms").alias("pair"))
+    segments = segments.select("entity", "item", valid_pair(F.col("pair")).alias("x")).filter("x is not null")
     found = nearest.nearest_intervals(tokens, segments.select("entity", "item", "x.start", "x.stop"), TOLERANCE_MS)
     return found.toDF("view_id", "token_index", "time_ms", "event_id", "away_ms")
 
