@@ -246,11 +246,12 @@ def test_window_stays_small():
 
 
 def brute_leak(item, doc, window, edits):
-    a, b = leakage.units(item), leakage.units(doc)
+    """Least edits of any passage anywhere in the document, by the whole table of prefixes."""
+    a, b = leakage.units(item), f" {' '.join(leakage.units(doc))} "
     best = None
     for p in range(len(a) - window + 1):
         row = [0] * (len(b) + 1)
-        for i, x in enumerate(a[p : p + window], 1):
+        for i, x in enumerate(f" {' '.join(a[p : p + window])} ", 1):
             new = [i]
             for j, y in enumerate(b, 1):
                 new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
@@ -264,28 +265,41 @@ def brute_leak(item, doc, window, edits):
 @pytest.mark.parametrize("edits", [0, 1, 2])
 def test_leaks(spark, edits):
     rng = random.Random(edits)
-    word = lambda: rng.choice(["alpha", "beta", "Gamma", "ｄｅｌｔａ", "我", "们", "好", "42", "x1"])
-    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 22)))) for i in range(12)] + [(50, None), (51, ""), (None, "a " * 30)]
+    word = lambda: rng.choice(["alpha", "be", "Gamma", "ｄｅｌｔａ", "我", "们", "好", "42", "x1"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 16)))) for i in range(10)] + [(50, None), (51, ""), (None, "a " * 30), (52, "ha " * 40), (53, items_tail := "我 们 " * 9)]
     docs = []
-    for d in range(60):
-        base = " ".join(word() for _ in range(rng.randrange(0, 40)))
+    for d in range(40):
+        base = " ".join(word() for _ in range(rng.randrange(0, 14)))
         if d % 3 == 0:
-            units = leakage.units(items[rng.randrange(12)][1])
+            text = items[rng.randrange(10)][1]
             for _ in range(rng.randrange(0, 4)):
-                k = rng.randrange(len(units))
-                units[k : k + 1] = rng.choice([[], [units[k], "new"], ["other"]])
-                if not units:
-                    break
-            base += " - " + ", ".join(units) + "! " + base
+                k = rng.randrange(len(text))
+                text = text[:k] + rng.choice(["", "z", " ", text[k : k + 1] * 2]) + text[k + rng.randrange(2) :]
+            base += " - " + text + "! " + base[:20]
         docs.append((d, base))
-    docs += [(100, None), (101, ""), (102, "..."), (None, docs[0][1]), docs[3]]
-    found = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), window=10, edits=edits, block_units=60)
+    docs += [(100, None), (101, ""), (102, "..."), (None, docs[0][1]), docs[3], (103, "ha ha " * 25), (104, "oh " + items_tail + items_tail)]
+    found = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), window=8, edits=edits)
     expected = set()
     for d, t in docs:
         for i, it in items:
-            if d is not None and i is not None and (e := brute_leak(it, t, 10, edits)) is not None:
+            if d is not None and i is not None and (e := brute_leak(it, t, 8, edits)) is not None:
                 expected.add((d, i, e))
-    assert set(map(tuple, found.collect())) == expected and found.count() == len(expected) > 5
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected) > 5
+
+
+def test_leaks_shared_and_repeated(spark):
+    """Many items that share a passage, and texts that repeat it, cost no more than the pairs they make."""
+    rng = random.Random(1)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = words(60)
+    items = [(i, f"{words(5)} {shared} {words(5)}") for i in range(400)]
+    docs = [(d, f"{words(20)} {shared} {words(20)}") for d in range(50)] + [(99, " ".join([shared] * 200))]
+    found = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert found.count() == 400 * 51
+    bounds = leakage.Bounds(24, 0)
+    known = np.ones(1 << leakage.BITS, bool)
+    assert len(leakage._regions([docs[-1][1]], known, bounds)[0][1][1]) < 3 * len(shared)
 
 
 def test_leaks_nothing(spark):
