@@ -28,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.session import cut
+
 #: Bucket width in radii of the ring, and buckets that an interval may lie in before it goes to the next level.
 WIDE = 16
 SPREAD = 64
@@ -73,17 +75,19 @@ def _ring(points: DataFrame, intervals: DataFrame, radius: float, longest: float
         parts.append(_reach(intervals.filter(of_level), level, width, radius))
     reach = reduce(DataFrame.unionByName, parts)
     if len(widths) == 1:
-        placed = points.withColumn("bucket", _bucket(F.col("at"), widths[0])).withColumn("level", F.lit(0))
+        placed = points.withColumn("bucket", _bucket(F.col("at"), widths[0]))
+        reach, where = reach.drop("level"), ["entity", "bucket"]
     else:
+        where = ["entity", "level", "bucket"]
         spots = F.array(*[F.struct(F.lit(i).alias("level"), _bucket(F.col("at"), w).alias("bucket")) for i, w in enumerate(widths)])
         placed = points.select("*", F.inline(spots))
     r = F.lit(radius)
     away = F.greatest(F.col("lo") - F.col("at"), F.col("at") - F.col("hi"), F.lit(0.0))
     near = F.when((away <= r) & F.col("prize").isNotNull(), F.struct(away.alias("away"), F.col("prize")))
     # never broadcast: the estimate of an exploded side's size doesn't know how many rows that makes
-    paired = placed.join(reach.hint("merge"), ["entity", "level", "bucket"], "left").select("entity", "level", "bucket", "point", "at", near.alias("near"))
+    paired = placed.join(reach.hint("merge"), where, "left").select(*where, "point", "at", near.alias("near"))
     # with one level a point has one bucket, and its rows are in one place already
-    by = ["entity", "level", "bucket", "point", "at"] if len(widths) == 1 else ["entity", "point", "at"]
+    by = [*where, "point", "at"] if len(widths) == 1 else ["entity", "point", "at"]
     return paired.groupBy(*by).agg(F.min("near").alias("best")).select("entity", "point", "at", "best")
 
 
@@ -107,6 +111,7 @@ def nearest_intervals(points: DataFrame, intervals: DataFrame, tolerance: float,
     points = points.select("entity", "point", F.col("at").cast("double").alias("at")).filter(F.col("entity").isNotNull() & finite("at"))
     intervals = intervals.select("entity", "item", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
     intervals = intervals.filter("entity is not null and item is not null and stop >= start").filter(finite("start") & finite("stop"))
+    intervals = cut(intervals)  # read for their greatest length and by each ring
     longest = intervals.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 0.0
     longest = longest if math.isfinite(longest) else 2.0**1023
     radii = [tolerance / 2**k for k in reversed(range(rings))]
