@@ -66,11 +66,28 @@ reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e o
 select distinct a as source_a, b as source_b from reach where a < b
 """
 
+_NAMED = f"""w as (select window_index, nullif({_clean('source_id')}, 'unknown') as a, nullif({_clean("split_part(" + _clean('view_id') + ", '/', 1)")}, 'unknown') as b from windows),
+e as (select distinct a, b from w where a <> b union select distinct b, a from w where a <> b),
+reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+c as (select a as node, least(a, min(b)) as component from reach group by a)"""
+
+_P4_MEMBERS = f"with recursive {_NAMED} select node as source_id, component, (select count(*) from e where e.a = c.node) as links from c"
+
+_P4_SPLIT = f"""with recursive {_NAMED},
+t as (select window_index, coalesce(component, n, 'window:' || coalesce(window_index, '')) as component
+      from (select distinct window_index, coalesce(a, b) as n from w) d left join c on c.node = d.n),
+g as (select component, count(*) as n from t group by 1),
+p as (select component, ('0x' || sha256('42:' || component)[1:12])::bigint / 281474976710656.0::double as spot, n > (select sum(n) from g) * 0.05::double as heavy from g)
+select window_index, component, case when heavy or spot < 0.8::double then 'train' when spot < 0.9::double then 'validation' else 'test' end as split from t join p using (component)"""
+
 
 ORACLE = {
     "p3_found": f"select distinct view_id, token_index, event_id from ({_P3_NEAREST})",
     "p3_nearest": _P3_NEAREST,
     "p4_found": _P4,
+    "p4_members": _P4_MEMBERS,
+    "p4_split": _P4_SPLIT,
+    "p4_shares": f"select split, count(*) as windows, count(distinct component) as components, round(count(*) / sum(count(*)) over ()::double, 4) as share from ({_P4_SPLIT}) group by 1",
     "p2_found": _P2,
     "p6_found": _p6(2).replace("@extra", ""),
     "p6_runs": _p6(1).replace("@extra", ", count(*) * 160 as duration_ms"),

@@ -55,10 +55,10 @@ def activity(raw: object) -> str | None:
     return None if raw is None else "active" if raw else "inactive"
 
 
-def _p6(spark: SparkSession, folder: str, least: int) -> DataFrame:
+def _p6(spark: SparkSession, folder: str, least: int, penalty: float = 0.25) -> DataFrame:
     lines = table(spark, folder, "timelines").withColumn("view_id", clean_id(F.col("view_id")))
     fields = [("chunk_states", CHUNK_STATES, chunk_state), ("target_active_by_chunk", ["active", "inactive"], activity)]
-    parts = [runs.collapse_runs(lines, "view_id", name, values, normal, least=least).withColumn("field", F.lit(name)) for name, values, normal in fields]
+    parts = [runs.collapse_runs(lines, "view_id", name, values, normal, penalty, least=least).withColumn("field", F.lit(name)) for name, values, normal in fields]
     return parts[0].unionByName(parts[1])
 
 
@@ -71,6 +71,15 @@ def p6_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _p6(spark, folder, 1).select("view_id", "field", "run_state", "start_chunk", "chunk_count", "duration_ms")
 
 
+#: Price of a boundary between near-identical events, in chunks that differ: breaks of up to two chunks within a run are bridged.
+NEAR_PENALTY = 1.25
+
+
+def p6_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of near-identical chunks, with how many of them differ from the run's value."""
+    return _p6(spark, folder, 1, NEAR_PENALTY).select("view_id", "field", "run_state", "start_chunk", "chunk_count", "odd_chunks", "duration_ms")
+
+
 #: How far from a token its event may be.
 TOLERANCE_MS = 320.0
 
@@ -99,8 +108,17 @@ def _named(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "windows").select("window_index", known(source).alias("a"), known(view).alias("b"))
 
 
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(spark, folder).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def _ties(spark: SparkSession, folder: str) -> DataFrame:
-    return groups.connected_components(_named(spark, folder).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return groups.connected_components(_edges(spark, folder))
+
+
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tied recording once, with its class and the number of its direct ties: grows with the recordings, not with their pairs."""
+    return groups.linked_members(_edges(spark, folder)).withColumnRenamed("node", "source_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,10 +191,12 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
     "p4_found": p4_found,
+    "p4_members": p4_members,
     "p4_split": p4_split,
     "p4_shares": p4_shares,
     "p6_found": p6_found,
     "p6_runs": p6_runs,
+    "p6_near": p6_near,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_found": p8_found,

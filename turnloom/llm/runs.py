@@ -68,7 +68,7 @@ def _steps(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs_of_rows(lists: pa.Array, normal: Callable[[object], str | None], names: list[str], distance: np.ndarray, penalty: float):
-    """(row, value code, start, count) of every run in a batch of arrays."""
+    """(row, value code, start, count, odd ones) of every run in a batch of arrays."""
     flat, offsets = lists.flatten(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
     words = flat.dictionary_encode()
     known = {v: i for i, v in enumerate(names)}
@@ -91,7 +91,8 @@ def _runs_of_rows(lists: pa.Array, normal: Callable[[object], str | None], names
                 j += 1
             for a, b, v in segment(vals[i:j], sizes[i:j], distance, penalty):
                 first, last = i + a, i + b
-                out.append((row, v, starts[first], starts[last] + sizes[last] - starts[first]))
+                odd = sum(sizes[k] for k in range(first, last + 1) if vals[k] != v) if b > a else 0
+                out.append((row, v, starts[first], starts[last] + sizes[last] - starts[first], odd))
             i = j
     return out
 
@@ -107,7 +108,7 @@ def collapse_runs(
     least: int = 1,
     step_ms: int = 160,
 ) -> DataFrame:
-    """Runs of the array column ``field``: entity, value, start, number of elements, duration.
+    """Runs of the array column ``field``: entity, value, start, number of elements, of those other than the value, duration.
 
     ``normal`` maps a raw element to one of ``values`` or to None (no event);
     it is called once per distinct element of a batch. ``distance`` defaults
@@ -126,17 +127,18 @@ def collapse_runs(
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 found = _runs_of_rows(batch.column(1), normal, names, costs, penalty)
                 found = [x for x in found if x[3] >= least]
-                row, value, start, count = zip(*found) if found else ((), (), (), ())
+                row, value, start, count, odd = zip(*found) if found else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row, pa.int64())),
                         pa.array([names[v] for v in value], pa.string()),
                         pa.array(start, pa.int32()),
                         pa.array(count, pa.int32()),
+                        pa.array(odd, pa.int32()),
                     ],
-                    names=[entity, "run_state", "start_chunk", "chunk_count"],
+                    names=[entity, "run_state", "start_chunk", "chunk_count", "odd_chunks"],
                 )
 
-    schema = f"{entity} string, run_state string, start_chunk int, chunk_count int"
+    schema = f"{entity} string, run_state string, start_chunk int, chunk_count int, odd_chunks int"
     found = rows.select(F.col(entity).cast("string").alias(entity), F.col(field)).filter(F.size(field) > 0).mapInArrow(run, schema)
     return found.distinct().withColumn("duration_ms", F.col("chunk_count").cast("bigint") * step_ms)

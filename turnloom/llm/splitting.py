@@ -10,6 +10,9 @@ character, so matching is a loop and long texts can't exhaust the stack.
 Where a piece ends at the end of a group, the next one looks back to the
 starts of the last two groups (by array functions over the group lengths) and
 begins there if these, with the group to come, fit; else with one, else none.
+
+The work grows with the length of a sequence: shape and group ends are arrays
+made once, and each piece takes no more of them than the limit.
 """
 
 from __future__ import annotations
@@ -26,8 +29,7 @@ LIMIT = 1_500
 #: Marks of a shape, by strength: end of a group, end of its text, other control token, space or punctuation.
 GROUP, SENTENCE, OTHER, PAUSE = "\u0001", "\u0002", "\u0003", "\u0004"
 MARKS = GROUP + SENTENCE + OTHER + PAUSE
-#: Columns used on the way, and those added.
-SHAPE, BOUNDS = "__turnloom_shape", "__turnloom_bounds"
+#: Columns added.
 RESULTS = ("piece_no", "piece", "piece_text", "piece_length")
 
 
@@ -58,41 +60,53 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _pieces(room: int) -> Column:
-    """Pieces of ``shape`` given ``bounds`` (0, then the end of each group): a fold, one extraction a step."""
-    shape_, bounds = F.col(SHAPE), F.col(BOUNDS)
+def _pieces(marks: Column, room: int) -> Column:
+    """Pieces of a sequence of which ``marks`` is the shape: a fold, one extraction a step."""
     half = room // 2
     inner = "|".join(f".{{{half},{room - 1}}}{mark}" for mark in (SENTENCE, OTHER, PAUSE))
     pattern = f"^(?s:.{{0,{room - 1}}}{GROUP}|{inner}|.{{1,{room}}})"
 
-    def step(acc: Column, _: Column) -> Column:
-        pos, done, whole = acc["pos"], acc["done"], acc["whole"]
-
-        def over(back: int) -> Column:  # units looked back over; they must fit together with the group to come
-            fits = whole & (done >= back) & (F.get(bounds, done + 1) - F.get(bounds, done - back) <= room)
-            return F.when(fits, F.struct(F.lit(back).alias("back"), (pos - 1 - F.get(bounds, done - back)).alias("over")))
-
-        def grow(look: Column) -> Column:
-            took = F.length(F.regexp_extract(shape_.substr(pos, F.lit(room) - look["over"]), pattern, 0))
-            return _let(pos + took - 1, lambda end: _let(F.size(F.filter(bounds, lambda x: x <= end)) - 1, lambda passed: after(look, end, passed)))
-
-        def after(look: Column, end: Column, passed: Column) -> Column:
-            at_group = F.get(bounds, passed) == end
-            piece = F.struct(
-                (pos - look["over"]).alias("start"), (end - pos + 1 + look["over"]).alias("len"),
-                (done - look["back"]).alias("first"), (passed + F.when(at_group, 0).otherwise(1)).alias("last"),
-                (~whole | ~at_group).alias("inside"),
-            )
-            return F.struct((end + 1).alias("pos"), passed.alias("done"), at_group.alias("whole"), F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
-
-        none = F.struct(F.lit(0).alias("back"), F.lit(0).alias("over"))
-        return F.when(pos > F.length(shape_), acc).otherwise(_let(F.coalesce(over(2), over(1), none), grow))
-
-    empty = F.array().cast("array<struct<start:int,len:int,first:int,last:int,inside:boolean>>")
-    start = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("done"), F.lit(True).alias("whole"), empty.alias("pieces"))
-    # a step covers a group, or half the room within one; a group too long takes one more
-    steps = F.sequence(F.lit(1), F.size(bounds) + F.expr(f"length({SHAPE}) div {max(1, half)}") + 1)
-    return F.aggregate(steps, start, step, lambda acc: acc["pieces"])
+    def fold(chars: Column, bounds: Column) -> Column:
+        """``bounds``: 0, then the end of each group; both are bound to variables, so no step makes them again."""
+        def step(acc: Column, _: Column) -> Column:
+            pos, done, whole = acc["pos"], acc["done"], acc["whole"]
+
+            def over(back: int) -> Column:  # units looked back over; they must fit together with the group to come
+                fits = whole & (done >= back) & (F.get(bounds, done + 1) - F.get(bounds, done - back) <= room)
+                return F.when(fits, F.struct(F.lit(back).alias("back"), (pos - 1 - F.get(bounds, done - back)).alias("over")))
+
+            def grow(look: Column) -> Column:
+                ahead = F.array_join(F.slice(chars, pos, F.lit(room) - look["over"]), "")
+                took = F.length(F.regexp_extract(ahead, pattern, 0))
+                # a group has at least one unit, so a piece passes no more than ``room`` ends
+                passed = lambda end: done + F.size(F.filter(F.slice(bounds, done + 2, F.lit(room)), lambda x: x <= end))
+                return _let(pos + took - 1, lambda end: _let(passed(end), lambda n: after(look, end, n)))
+
+            def after(look: Column, end: Column, passed: Column) -> Column:
+                at_group = F.get(bounds, passed) == end
+                piece = F.struct(
+                    (pos - look["over"]).alias("start"), (end - pos + 1 + look["over"]).alias("len"),
+                    (done - look["back"]).alias("first"), (passed + F.when(at_group, 0).otherwise(1)).alias("last"),
+                    (~whole | ~at_group).alias("inside"),
+                )
+                return F.struct((end + 1).alias("pos"), passed.alias("done"), at_group.alias("whole"), F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
+
+            none = F.struct(F.lit(0).alias("back"), F.lit(0).alias("over"))
+            return F.when(pos > F.size(chars), acc).otherwise(_let(F.coalesce(over(2), over(1), none), grow))
+
+        empty = F.array().cast("array<struct<start:int,len:int,first:int,last:int,inside:boolean>>")
+        start = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("done"), F.lit(True).alias("whole"), empty.alias("pieces"))
+        # a step covers a group, or half the room within one; a group too long takes one more
+        steps = F.sequence(F.lit(1), F.size(bounds) + F.floor(F.size(chars) / F.lit(max(1, half))).cast("int") + 1)
+        return F.aggregate(steps, start, step, lambda acc: acc["pieces"])
+
+    ends = lambda chars: F.concat(F.array(F.lit(0)), F.array_compact(F.transform(chars, lambda c, i: F.when(c == GROUP, i + 1))))
+    return _let(F.split(marks, ""), lambda chars: _let(ends(chars), lambda bounds: fold(chars, bounds)))
+
+
+def _long(rows: DataFrame, sequence: str, limit: int) -> tuple[DataFrame, list[str]]:
+    kept = [c for c in rows.columns if c not in RESULTS]
+    return rows.filter(unit_length(F.col(sequence)) > limit), kept
 
 
 def cut_points(rows: DataFrame, sequence: str, limit: int = LIMIT) -> DataFrame:
@@ -107,18 +121,16 @@ def cut_points(rows: DataFrame, sequence: str, limit: int = LIMIT) -> DataFrame:
     and empty sequences, and those within the limit, give no row. Input columns
     are kept, but for those named like a result; repeated rows stay repeated.
     """
-    room = limit - len(PREFIX)
-    kept = [c for c in rows.columns if c not in RESULTS]
-    long = rows.filter(unit_length(F.col(sequence)) > limit).select(*kept, shape(body(F.col(sequence))).alias(SHAPE))
-    groups = F.regexp_extract_all(SHAPE, F.lit(f"(?s)[^{GROUP}]*+{GROUP}"), F.lit(0))
-    add = lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(g)))
-    long = long.withColumn(BOUNDS, F.aggregate(groups, F.array(F.lit(0)), add))
-    return long.select(*kept, F.posexplode(_pieces(room)).alias("piece_no", "piece"))
+    long, kept = _long(rows, sequence, limit)
+    return long.select(*kept, F.posexplode(_pieces(shape(body(F.col(sequence))), limit - len(PREFIX))).alias("piece_no", "piece"))
 
 
 def split_sequences(rows: DataFrame, sequence: str, limit: int = LIMIT) -> DataFrame:
     """The pieces of :func:`cut_points` with their text in ``piece_text`` and its ``piece_length``."""
+    long, kept = _long(rows, sequence, limit)
     units = F.regexp_extract_all(body(F.col(sequence)), F.lit(rf"(?s){CONTROL}|."), F.lit(0))
-    text = F.array_join(F.slice(units, F.col("piece.start"), F.col("piece.len")), "")
-    cut = cut_points(rows, sequence, limit)
-    return cut.withColumn("piece_text", F.concat(F.lit("".join(PREFIX)), text)).withColumn("piece_length", F.col("piece.len") + len(PREFIX))
+    pieces = _pieces(shape(body(F.col(sequence))), limit - len(PREFIX))
+    text = lambda units, p: F.concat(F.lit("".join(PREFIX)), F.array_join(F.slice(units, p["start"], p["len"]), ""))
+    cut = _let(units, lambda units: F.transform(pieces, lambda p: F.struct(p.alias("piece"), text(units, p).alias("piece_text"))))
+    each = long.select(*kept, F.posexplode(cut).alias("piece_no", "x"))
+    return each.select(*kept, "piece_no", "x.piece", "x.piece_text", (F.col("x.piece.len") + len(PREFIX)).alias("piece_length"))
