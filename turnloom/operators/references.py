@@ -10,8 +10,8 @@ Words are formed by a combinable ``bit_or``.
 Per period, referring keys AND NOT the keys whose target is there during the
 whole period leave the suspects; AND NOT the keys that exist at all tells the
 missing ones. Surviving bits are decoded through the dictionary. Only the rows
-of suspects that do exist are then held against exact times, in one sorted
-pass per (key, day) with a carry from earlier days.
+of suspects that do exist are then held against exact times, in a sorted pass per
+(key, second) with a carry from earlier seconds and days.
 """
 
 from __future__ import annotations
@@ -112,17 +112,21 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
     # what is left exists and had arrived: was it deleted at that very time?
     open_ = hits.filter("reason is null").drop("reason", "missing", "first", "month")
-    day = F.expr("t div 86400000000").alias("day")
-    asked = open_.select("kind", "key", "t").distinct().select("kind", "key", "t", day, F.lit(1).alias("ask"), F.lit(None).cast("bigint").alias("until"))
+    place = [F.expr("t div 86400000000").alias("day"), F.expr("t div 1000000").alias("second")]
+    asked = open_.select("kind", "key", "t").distinct().select("kind", "key", "t", *place, F.lit(1).alias("ask"), F.lit(None).cast("bigint").alias("until"))
     lives = parents.filter("arrived is not null").join(asked.select("kind", "key"), ["kind", "key"], "left_semi")
     lives = lives.groupBy("kind", "key", _micros(F.col("arrived")).alias("t")).agg(F.max(F.coalesce(_micros(F.col("deleted")), F.lit(FOREVER))).alias("until"))
-    lives = lives.select("kind", "key", "t", day, F.lit(0).alias("ask"), "until")
+    lives = lives.select("kind", "key", "t", *place, F.lit(0).alias("ask"), "until")
     line = asked.unionByName(lives)
-    days = line.groupBy("kind", "key", "day").agg(F.max("until").alias("until"))
-    earlier = Window.partitionBy("kind", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("kind", "key", "day", F.max("until").over(earlier).alias("carry"))
-    today = Window.partitionBy("kind", "key", "day").orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("until", F.max("until").over(today)).filter("ask = 1").join(days, ["kind", "key", "day"])
+    # what earlier seconds of the day and earlier days leave behind: no key is sorted beyond a second's, a day's or its days' rows
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seconds = line.groupBy("kind", "key", "day", "second").agg(F.max("until").alias("until"))
+    days = seconds.groupBy("kind", "key", "day").agg(F.max("until").alias("until"))
+    days = days.select("kind", "key", "day", F.max("until").over(earlier(["kind", "key"], "day")).alias("far"))
+    near = F.max("until").over(earlier(["kind", "key", "day"], "second")).alias("near")
+    carried = seconds.select("kind", "key", "day", "second", near).join(days, ["kind", "key", "day"]).select("kind", "key", "second", F.greatest("near", "far").alias("carry"))
+    now = Window.partitionBy("kind", "key", "second").orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("until", F.max("until").over(now)).filter("ask = 1").join(carried, ["kind", "key", "second"])
     dead = line.filter("coalesce(greatest(until, carry), 0) <= t").select("kind", "key", "t")
     deleted = open_.join(dead, ["kind", "key", "t"]).withColumn("reason", F.lit("deleted")).select(*columns)
     return decided.unionByName(deleted).distinct()
