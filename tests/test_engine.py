@@ -14,9 +14,9 @@ def rows(df):
 
 
 def test_chunk_bounds(spark):
-    df = spark.createDataFrame([(0.0, 160.0), (160.0, 320.0), (159.0, 161.0), (640.0, 800.0), (5.0, 5.0)], "s double, e double")
+    df = spark.createDataFrame([(100.0, 300.0), (480.0, 481.0), (320.0, 639.5), (7000.0, 7001.0), (161.0, 161.0), (-90.0, 170.0)], "s double, e double")
     lo, hi = chunk_range(F.col("s"), F.col("e"), F.lit(4))
-    assert [tuple(r) for r in df.select(lo, hi).collect()] == [(0, 1), (1, 2), (0, 2), (4, 4), (0, 0)]
+    assert [tuple(r) for r in df.select(lo, hi).collect()] == [(0, 2), (3, 4), (2, 4), (4, 4), (1, 1), (0, 2)]
 
 
 def test_ids(spark):
@@ -25,10 +25,10 @@ def test_ids(spark):
 
 
 def test_rest_arrays_and_ranges(spark):
-    tracks = [[True, False, False, True], [False, True, False, True], [False, True, True, False]]
+    tracks = [[False, True, True, False, True], [True, True, False, False, None], [True, True, False, False, False]]
     df = spark.createDataFrame([(tracks,), ([],)], "t array<array<boolean>>")
     got = [[tuple(x) for x in r[0]] for r in df.select(grid.rest_arrays(F.col("t"), F.lit(0))).collect()]
-    assert got == [[(False, 0, False), (True, 2, False), (True, 1, False), (True, 1, True)], []]
+    assert got == [[(True, 2, False), (True, 2, True), (False, 0, False), (False, 0, False), (False, 0, False)], []]
     flags = spark.createDataFrame([([True, True, None, True, False],), ([],), (None,)], "f array<boolean>")
     got = [r[0] and [tuple(x) for x in r[0]] for r in flags.select(grid.true_ranges(F.col("f"))).collect()]
     assert got[:2] == [[(0, 2), (3, 4)], []] and not got[2]
@@ -193,11 +193,24 @@ def test_annotations(spark):
     import json
 
     event = lambda a, b, **k: {"startInMs": a, "endInMs": b, "LID": "en", "state": "<|wait|>", "labels": {"txt": "hi"}, "speaker": {"segments": []}} | k
-    meta = {"nTrack": 2, "fs": 48000, "timeLenInSec": 1.0, "asr": [[event(0, 500), event(400, 1008), event(100, 300)], [event(0, 1161, state="<|x|>"), event(5, 5, speaker={"segments": [{"startSec": 0, "endSec": 0.5}]})]]}
+    cut = lambda *x: {"segments": [{"startSec": a, "endSec": b} for a, b in x]}
+    first = [event(0, 500), event(400, 1008), event(500, 600), event("x", 700), event(100, 300), event(300, 1161), event(900, 1160.0, speaker=cut((0.9, 1.1605)))]
+    second = [event(5, 5, state="<|x|>", speaker=cut((0, 0.5), (-0.0005, 0.1), (-5, 0.1), (0.9, 1.1), (0.9, 99), (0.7, 0.7), (None, 1)))]
+    meta = {"nTrack": 2, "fs": 48000, "timeLenInSec": 1.0, "asr": [first, second]}
     df = spark.createDataFrame([("s", json.dumps(meta), 1000.0), ("t", None, 1.0), ("u", "{", 1.0)], "source_id string, metadata string, duration_ms double")
-    got = {r["event_id"]: r for r in annotations.events_of(df).collect()}
-    assert len(got) == 5
-    assert got["s/ch00/event0001"]["effective_end_ms"] == 1000.0 and got["s/ch00/event0001"]["clipped_ms"] == 8.0
-    assert got["s/ch00/event0002"]["faults"] == ["order"] and got["s/ch01/event0000"]["faults"] == ["overhang", "state"]
-    assert got["s/ch01/event0001"]["speaker_segments_ms"] == [[0.0, 500.0]] and not got["s/ch01/event0001"]["activity_fallback_candidate"]
-    assert got["s/ch00/event0000"]["activity_fallback_candidate"]
+    got = {r["event_id"][2:]: r for r in annotations.events_of(df).collect()}
+    assert len(got) == 8
+    assert [got[f"ch00/event000{i}"]["faults"] for i in range(7)] == [[], [], [], ["bounds"], ["order"], ["range"], ["segment"]]
+    over = got["ch00/event0001"]
+    assert over["effective_end_ms"] == 1000.0 and [tuple(x) for x in over["repairs"]] == [(None, 1008.0, 1000.0, 8.0)] and over["activity_fallback_candidate"]
+    assert got["ch00/event0003"]["start_ms"] is None and not got["ch00/event0005"]["activity_fallback_candidate"] and got["ch00/event0006"]["effective_end_ms"] == 1000.0
+    last = got["ch01/event0000"]
+    assert last["faults"] == ["state", "segment"] and last["activity_source"] == "speaker_segments" and not last["activity_fallback_candidate"]
+    assert [[round(y, 6) for y in x] for x in last["speaker_segments_ms"]] == [[0.0, 500.0], [0.0, 100.0], [900.0, 1000.0]]
+    assert [x["segment_index"] for x in last["repairs"]] == [3]
+
+
+def test_target_vs_rest(spark):
+    cells = spark.createDataFrame([("s", c, k) for c, ks in ((0, [1, 2, 3]), (1, [3, 4]), (2, [3, 9])) for k in ks] + [("t", 0, 5)], "source_id string, channel int, chunk bigint")
+    views = spark.createDataFrame([("s0", "s", 0), ("s1", "s", 1), ("s5", "s", 5), ("t0", "t", 0), ("n", "none", 0)], "view_id string, source_id string, channel int")
+    assert rows(grid.target_vs_rest(cells, views)) == [("n", 0, 0, 0, 0), ("s0", 3, 3, 1, 2), ("s1", 2, 4, 1, 2), ("s5", 0, 5, 0, 3), ("t0", 1, 0, 0, 0)]

@@ -31,22 +31,21 @@ def target_vs_rest(cells: DataFrame, views: DataFrame) -> DataFrame:
     """Per view the chunks in which its own track, any other, and both are active.
 
     ``cells``: ``source_id``, ``channel``, ``chunk``; ``views``: ``view_id``,
-    ``source_id``, ``channel``. No track is joined to another: the tracks of a
-    chunk are one short array, as long as the recording has tracks, and each
-    view of the recording reads it. That side is never broadcast: it is exploded,
-    which the optimizer's estimate of its size doesn't know. A view without any active chunk has zeros.
+    ``source_id``, ``channel``. No track is joined to another, and no chunk to a
+    view: chunks are counted by the set of tracks active in them, of which a
+    recording has few, and a view reads the counts of its recording. A view
+    without any active chunk has zeros.
     """
-    by_chunk = cells.select("source_id", "channel", "chunk").groupBy("source_id", "chunk").agg(F.collect_set("channel").alias("tracks"))
-    own = F.array_contains("tracks", F.col("channel"))
-    rest = F.size("tracks") - own.cast("int")
-    per = views.select("view_id", "source_id", "channel").join(by_chunk.hint("merge"), "source_id", "left").select("view_id", own.alias("own"), rest.alias("rest"), F.col("chunk"))
-    count = lambda cond: F.count_if(cond & F.col("chunk").isNotNull())
+    by_chunk = cells.select("source_id", "channel", "chunk").groupBy("source_id", "chunk").agg(F.array_sort(F.collect_set("channel")).alias("tracks"))
+    sets = by_chunk.groupBy("source_id", "tracks").agg(F.count("*").alias("n"))
+    own = F.coalesce(F.array_contains("tracks", F.col("channel")), F.lit(False))
+    rest = F.coalesce(F.size("tracks") - own.cast("int"), F.lit(0))
+    per = views.select("view_id", "source_id", "channel").join(sets, "source_id", "left").select("view_id", own.alias("own"), rest.alias("rest"), F.coalesce("n", F.lit(0)).alias("n"))
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     return per.groupBy("view_id").agg(
-        count(F.col("own")).alias("target_chunks"),
-        count(F.col("rest") > 0).alias("rest_chunks"),
-        count(F.col("own") & (F.col("rest") > 0)).alias("overlap_chunks"),
-        F.coalesce(F.max(F.when(F.col("chunk").isNotNull(), F.col("rest"))), F.lit(0)).alias("most_rest"),
-    )
+        count(F.col("own")).alias("target_chunks"), count(F.col("rest") > 0).alias("rest_chunks"),
+        count(F.col("own") & (F.col("rest") > 0)).alias("overlap_chunks"), F.max("rest").alias("most_rest"),
+    )
 
 
 def rest_arrays(tracks: Column, target: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.session import cut
+
 
 def hashed_top(rows: DataFrame, group: str, key: str, count: int, offset: int = 0) -> DataFrame:
     """Of each group the rows at places ``offset .. offset + count`` in the order of the key's SHA-256.
@@ -42,3 +44,20 @@ def group_split(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> D
 def shared_keys(rows: DataFrame, key: str, split: str) -> DataFrame:
     """Keys that occur in more than one split; empty if nothing leaks."""
     return rows.groupBy(key).agg(F.count_distinct(split).alias("splits")).filter("splits > 1")
+
+
+def ordered_places(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """Rows with ``place``, from 0, in the order of a text key that is unique.
+
+    Range partitioning puts equal ranges of the key into ``buckets`` parts; places
+    are counted within each and the parts' sizes summed up before, so no task sorts
+    all rows.
+    """
+    parts = rows.repartitionByRange(buckets, key).withColumn("_part", F.spark_partition_id())
+    # the number of a part depends on sampled borders: written once, so that both uses see the same
+    parts = cut(parts)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    placed = parts.withColumn("_inside", inside).join(sizes.select("_part", before.alias("_before")), "_part")
+    return placed.withColumn("place", (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_part", "_inside", "_before")

@@ -58,7 +58,8 @@ def bootstrap(deltas: DataFrame, group: str, seed: int = 42, repetitions: int =
 
     ``deltas``: the group and ``delta`` (-1, 0 or 1). A resample's mean depends
     only on how often each value occurs, so a group goes to its task as three
-    counts, whatever its size. Draws follow Python's seeded generator.
+    counts, whatever its size. Draws are multinomial, so the interval is that of
+    another sequence of draws than :func:`evaluation.paired_intervals` repeats.
     """
     counts = deltas.groupBy(group).agg(*[F.count_if(F.col("delta") == d).alias(n) for d, n in ((-1, "down"), (0, "same"), (1, "up"))])
 

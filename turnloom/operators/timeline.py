@@ -1,7 +1,7 @@
 """State per chunk of a view: claims of its events, conflicts, and quarantine.
 
-All in long form. Claims are grouped by (view, chunk), so a view with very many
-events is spread over its chunks.
+All in long form. What is said of a chunk is grouped by (view, chunk), so a view
+with very many events is spread over its chunks.
 """
 
 from __future__ import annotations
@@ -39,36 +39,78 @@ def claims(cells: DataFrame, states: DataFrame) -> DataFrame:
     return activity.unionByName(ends.select("view_id", "chunk", "event_id", F.lit("terminal").alias("kind"), F.col("terminal").alias("state")))
 
 
-def resolve(claimed: DataFrame, grid: DataFrame, active: DataFrame, forced: DataFrame | None = None) -> DataFrame:
-    """State of every chunk of a view: ``(view_id, chunk, state, problem, problems)``.
-
-    ``grid``: ``view_id``, ``chunk_count``; ``active``: cells of the track's own
-    activity; ``forced``: cells to be quarantined anyway, with their ``kind``. No
-    claim means idle, one state claims the chunk, several leave it null with
-    problem ``conflict``; activity that no event covers is ``uncovered``, and wins
-    over a terminal claim. ``problems`` are all that hold for a chunk, ``problem``
-    is the first: the forced kinds, then ``uncovered``, then ``conflict``. The grid
-    grows by a chunk if a terminal claim needs it.
-    """
-    by_chunk = claimed.groupBy("view_id", "chunk").agg(
-        F.min("state").alias("least"), F.max("state").alias("most"), F.bool_or(F.col("kind") == "activity").alias("covered")
-    )
+def sizes(claimed: DataFrame, grid: DataFrame) -> DataFrame:
+    """``(view_id, size)``: chunks of each view's timeline: a chunk more than the view has if a terminal claim needs it."""
     longer = claimed.filter("kind = 'terminal'").groupBy("view_id").agg(F.max("chunk").alias("last"))
     size = F.greatest("chunk_count", F.least(F.coalesce(F.col("last") + 1, F.lit(0)), F.col("chunk_count") + 1))
-    cells = grid.select("view_id", "chunk_count").join(longer, "view_id", "left").filter("chunk_count > 0").select("view_id", F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("chunk"))
-    marks = active.select("view_id", "chunk").distinct().withColumn("active", F.lit(True))
-    # exploded sides are never broadcast: estimates of their size don't know how many rows that makes
-    cells = cells.join(by_chunk.hint("merge"), ["view_id", "chunk"], "left").join(marks.hint("merge"), ["view_id", "chunk"], "left")
+    return grid.select("view_id", "chunk_count").join(longer, "view_id", "left").filter("chunk_count > 0").select("view_id", size.cast("bigint").alias("size"))
+
+
+def touched(claimed: DataFrame, lengths: DataFrame, active: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """``(view_id, chunk, state, problem, problems)`` of the chunks that anything is said of; all others are idle.
+
+    ``lengths`` as of :func:`sizes`; ``active``: cells of the track's own activity;
+    ``forced``: cells to be quarantined anyway, with their ``kind``. One state
+    claims a chunk, several leave it null with problem ``conflict``; activity that
+    no event covers is ``uncovered``, and wins over a terminal claim. ``problems``
+    are all that hold for a chunk, ``problem`` is the first: the forced kinds, then
+    ``uncovered``, then ``conflict``.
+
+    All that is said is put together and grouped once: no chunk without claim or
+    activity is ever a row.
+    """
+    text = F.lit(None).cast("string")
+    no = F.lit(False)
+    said = claimed.select("view_id", "chunk", "state", (F.col("kind") == "activity").alias("covered"), no.alias("active"), text.alias("forced"))
+    said = said.unionByName(active.select("view_id", "chunk", text.alias("state"), no.alias("covered"), F.lit(True).alias("active"), text.alias("forced")))
     if forced is not None:
-        kinds = forced.groupBy("view_id", "chunk").agg(F.array_sort(F.collect_set("kind")).alias("forced"))
-        cells = cells.join(kinds.hint("merge"), ["view_id", "chunk"], "left")
-    else:
-        cells = cells.withColumn("forced", F.lit(None).cast("array<string>"))
-    found = F.array_compact(F.array(
-        F.when(F.coalesce("active", F.lit(False)) & ~F.coalesce("covered", F.lit(False)), "uncovered"),
-        F.when(F.col("least") != F.col("most"), "conflict"),
-    ))
-    problems = F.concat(F.coalesce("forced", F.array().cast("array<string>")), found)
-    cells = cells.withColumn("problems", problems).withColumn("problem", F.get("problems", F.lit(0)))
-    state = F.when(F.col("problem").isNull(), F.coalesce("least", F.lit("user_idle")))
-    return cells.select("view_id", "chunk", state.alias("state"), "problem", "problems")
+        said = said.unionByName(forced.select("view_id", "chunk", text.alias("state"), no.alias("covered"), no.alias("active"), F.col("kind").alias("forced")))
+    cells = said.groupBy("view_id", "chunk").agg(
+        F.min("state").alias("least"), F.max("state").alias("most"), F.max("covered").alias("covered"), F.max("active").alias("active"),
+        F.array_sort(F.collect_set("forced")).alias("forced"),
+    )
+    found = F.array_compact(F.array(F.when(F.col("active") & ~F.col("covered"), "uncovered"), F.when(F.col("least") != F.col("most"), "conflict")))
+    cells = cells.withColumn("problems", F.concat("forced", found)).join(lengths, "view_id").filter("chunk < size")
+    state = F.when(F.size("problems") == 0, F.coalesce("least", F.lit("user_idle")))
+    return cells.select("view_id", "chunk", state.alias("state"), F.get("problems", F.lit(0)).alias("problem"), "problems")
+
+
+def outcomes(cells: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(view_id, outcome, chunks)``: chunks of each state or first problem, the untouched ones being idle."""
+    counted = cells.groupBy("view_id", F.coalesce("problem", "state").alias("outcome")).agg(F.count("*").alias("chunks"))
+    rest = lengths.join(counted.groupBy("view_id").agg(F.sum("chunks").alias("n")), "view_id", "left")
+    idle = rest.select("view_id", F.lit("user_idle").alias("outcome"), (F.col("size") - F.coalesce("n", F.lit(0))).alias("chunks"))
+    return counted.unionByName(idle).groupBy("view_id", "outcome").agg(F.sum("chunks").alias("chunks")).filter("chunks > 0")
+
+
+def resolve(claimed: DataFrame, grid: DataFrame, active: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """State of every chunk of a view: the touched ones as of :func:`touched`, the others idle. ``grid``: ``view_id``, ``chunk_count``."""
+    lengths = sizes(claimed, grid)
+    return filled(touched(claimed, lengths, active, forced), lengths)
+
+
+def filled(cells: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Touched cells and all others of the views."""
+    line = lengths.select("view_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)).alias("chunk"))
+    # the exploded side is never broadcast: an estimate of its size doesn't know how many rows that makes
+    joined = line.join(cells.withColumn("said", F.lit(True)).hint("merge"), ["view_id", "chunk"], "left")
+    state = F.when(F.col("said").isNull(), "user_idle").otherwise(F.col("state"))
+    return joined.select("view_id", "chunk", state.alias("state"), "problem", F.coalesce("problems", F.array().cast("array<string>")).alias("problems"))
+
+
+def statuses(events: DataFrame, evidenced: DataFrame, claimed: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(event_id, activity_source, status)`` of each event.
+
+    ``events``: ``event_id``, ``spoken`` (has valid segments), ``candidate`` (for
+    fallback); ``evidenced``: ``event_id`` of fallback events with a token near. An
+    event without activity is ``missing_evidence`` or a ``non_acoustic_placeholder``;
+    every event that claims a chunk in conflict has ``state_conflict``, all others
+    are ``applied``.
+    """
+    disputed = cells.filter(F.array_contains("problems", "conflict")).select("view_id", "chunk")
+    clashing = claimed.join(disputed, ["view_id", "chunk"], "left_semi").select("event_id").distinct().withColumn("clash", F.lit(True))
+    heard = evidenced.select("event_id").distinct().withColumn("heard", F.lit(True))
+    rows = events.join(heard, "event_id", "left").join(clashing, "event_id", "left")
+    source = F.when(F.col("spoken"), "speaker_segments").when(F.col("candidate"), "event_envelope_fallback").otherwise("none")
+    status = F.when(F.col("clash"), "state_conflict").when(F.col("spoken") | (F.col("candidate") & F.col("heard").isNotNull()), "applied")
+    return rows.select("event_id", source.alias("activity_source"), status.when(F.col("candidate"), "missing_evidence").otherwise("non_acoustic_placeholder").alias("status"))

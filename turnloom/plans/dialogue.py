@@ -114,7 +114,7 @@ def raw_states(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder, "official_state_raw").groupBy(F.coalesce(state, F.lit("none")).alias("state"), wrong.alias("is_error")).agg(F.count("*").alias("events"))
 
 
-_LATEST = """lab as (select event_id, label_state from (select lower(trim(event_id)) as event_id, label_state, row_number() over (partition by lower(trim(event_id)) order by ingested_at desc, label_id desc) as n from state_labels where event_id is not null) where n = 1)"""
+_LATEST = """lab as (select event_id, label_state from (select lower(trim(event_id, chr(9) || ' ')) as event_id, label_state, row_number() over (partition by lower(trim(event_id, chr(9) || ' ')) order by ingested_at desc, label_id desc) as n from state_labels where event_id is not null) where n = 1)"""
 
 
 @query(f"with {_EV}, {_LATEST}, " + """
@@ -124,7 +124,7 @@ m as (select case when official_state = 'wait' then 'complete' when official_sta
 select state, origin, count(*) as events from m group by all""")
 def label_precedence(spark: SparkSession, folder: str) -> DataFrame:
     """State of each event by precedence of sources, counted."""
-    given = table(spark, folder, "state_labels").select(F.lower(F.trim("event_id")).alias("event_id"), "label_state", "ingested_at", "label_id")
+    given = table(spark, folder, "state_labels").select(clean_id(F.col("event_id")).alias("event_id"), "label_state", "ingested_at", "label_id").filter("event_id is not null")
     last = labels.latest(given, "event_id", ["label_state"], ["ingested_at", "label_id"])
     state, origin = labels.precedence(F.col("official_state"), F.col("label_state"))
     return _events(spark, folder, "official_state").join(last, "event_id", "left").groupBy(state.alias("state"), origin.alias("origin")).agg(F.count("*").alias("events"))
@@ -180,27 +180,6 @@ def claim_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return by_chunk.groupBy("view_id").agg(F.count("*").alias("claimed_chunks"), F.count_if(F.col("lo") != F.col("hi")).alias("conflict_chunks"), F.sum("events").alias("claimants"))
 
 
-def state_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """The resolved timeline of every view in long form."""
-    views = _views(spark, folder, "chunk_count", "target_active_by_chunk")
-    active = views.select("view_id", F.posexplode("target_active_by_chunk").alias("chunk", "on")).filter("on").select("view_id", F.col("chunk").cast("bigint"))
-    claimed = _claims(spark, folder).join(views.select("view_id"), "view_id", "left_semi")
-    return timeline.resolve(claimed, views.select("view_id", "chunk_count"), active)
-
-
-@query(f"with {_EV}, {_SEG}, {_CELL}, {_CLAIM}, {_VIEW}, " + """
-x as (select view_id, chunk, min(state) as lo, max(state) as hi, bool_or(kind = 'activity') as covered from cl group by all),
-sz as (select vw.view_id, greatest(chunk_count, least(coalesce(l.last + 1, 0), chunk_count + 1)) as n from vw left join (select view_id, max(chunk) as last from cl where kind = 'terminal' group by 1) l using (view_id)),
-g as (select view_id, unnest(range(n)) as chunk from sz),
-a as (select view_id, i as chunk from (select view_id, unnest(ta) as t, unnest(range(len(ta))) as i from vw) where t),
-r as (select g.view_id, case when a.chunk is not null and not coalesce(x.covered, false) then 'uncovered' when x.lo <> x.hi then 'conflict' else coalesce(x.lo, 'user_idle') end as s
-  from g left join x on x.view_id = g.view_id and x.chunk = g.chunk left join a on a.view_id = g.view_id and a.chunk = g.chunk)
-select view_id, s as outcome, count(*) as chunks from r group by all""")
-def state_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Resolved state of every chunk, counted per view and outcome."""
-    return state_cells(spark, folder).groupBy("view_id", F.coalesce("problem", "state").alias("outcome")).agg(F.count("*").alias("chunks"))
-
-
 @query(f"with {_EV}, {_VIEW} " + """
 select event_id, (hi - lo)::int as chunk_span, len(list_filter(ta[lo + 1:hi], lambda x: x))::int as target_chunks, len(list_filter(oa[lo + 1:hi], lambda x: x))::int as other_chunks,
   len(list_filter(ov[lo + 1:hi], lambda x: x))::int as overlap_chunks, coalesce(list_max(oc[lo + 1:hi]), 0)::int as most_other
@@ -232,31 +211,6 @@ def emit_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return timed.groupBy("emitted").agg(F.count("*").alias("tokens"), F.count_if(F.col("emit_chunk") == F.col("emitted")).alias("as_stored"))
 
 
-@query(f"with {_TOK}, {_VIEW}, " + """
-k as (select result_id, vw.view_id, ta, least(floor(start_ms / 160.0::double), hi)::bigint as lo, hi, chunk_count from
-  (select tok.*, least(len(ta), ceil(end_ms / 160.0::double))::bigint as hi from tok join vw using (view_id) where isfinite(start_ms) and isfinite(end_ms) and end_ms > start_ms and start_ms >= 0) tok join vw using (view_id))
-select view_id, count(*) as tokens, count(*) filter (list_bool_or(ta[greatest(lo - 2, 0) + 1:least(hi + 2, len(ta))])) as evidenced from k group by 1""".replace("k as (select result_id, vw.view_id, ta, ", "k as (select result_id, vw.view_id, vw.ta as ta, ").replace("hi, chunk_count from", "hi from"))
-def token_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens with activity of their track within two chunks: rows of results meet rows of views, tokens stay in theirs."""
-    views = _views(spark, folder, "target_active_by_chunk")
-    results = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("view_id"), "tokens").dropDuplicates(["result_id"])
-    timed = F.filter("tokens", lambda t: (t["end_ms"] > t["start_ms"]) & (t["start_ms"] >= 0) & ~F.isnan(t["end_ms"]))
-    near = F.filter("timed", lambda t: tokens.has_activity(t["start_ms"], t["end_ms"], F.col("target_active_by_chunk")))
-    joined = results.select("view_id", timed.alias("timed")).filter(F.size("timed") > 0).join(views, "view_id")
-    return joined.groupBy("view_id").agg(F.sum(F.size("timed").cast("bigint")).alias("tokens"), F.sum(F.size(near).cast("bigint")).alias("evidenced"))
-
-
-@query("""select view_id, fault, count(*) as results from (select view_id, unnest(list_filter([
-  case when len(list_filter(tokens, lambda t: t.start_ms is null or t.end_ms is null or not isfinite(t.start_ms) or not isfinite(t.end_ms))) > 0 then 'untimed' end,
-  case when len(list_filter(tokens, lambda t: t.end_ms < t.start_ms)) > 0 then 'reversed' end], lambda x: x is not null)) as fault
-  from (select result_id, any_value(coalesce(view_id, '')) as view_id, any_value(tokens) as tokens from asr_results group by 1)) group by all""")
-def token_faults(spark: SparkSession, folder: str) -> DataFrame:
-    """Results whose tokens are untimed or reversed, by view."""
-    rows = table(spark, folder, "asr_results").select("result_id", F.coalesce("view_id", F.lit("")).alias("view_id"), "tokens").dropDuplicates(["result_id"])
-    faults = rows.select("view_id", F.explode(tokens.token_faults(F.col("tokens"), F.lit(1e18))).alias("fault"))
-    return faults.filter("fault in ('untimed', 'reversed')").groupBy("view_id", "fault").agg(F.count("*").alias("results"))
-
-
 @query("""select view_id, fault, count(*) as results from (select view_id, unnest(list_filter([
   case when len(list_filter(tokens, lambda t: t.start_ms is null or t.end_ms is null or not isfinite(t.start_ms) or not isfinite(t.end_ms))) > 0 then 'untimed' end,
   case when len(list_filter(tokens, lambda t: t.end_ms < t.start_ms)) > 0 then 'reversed' end,
@@ -265,7 +219,7 @@ def token_faults(spark: SparkSession, folder: str) -> DataFrame:
   case when len(list_filter(tokens, lambda t: contains(t.token, '<|') or contains(t.token, '|>'))) > 0 then 'control' end], lambda x: x is not null)) as fault
   from (select result_id, any_value(coalesce(view_id, '')) as view_id, any_value(lower(trim(view_id, chr(9) || ' '))) as k, any_value(chunk_count) as chunk_count, any_value(tokens) as tokens from asr_results group by 1) r
   left join (select view_id as k, any_value(duration_seconds) as seconds from target_views group by 1) v using (k)) group by all""")
-def token_contract(spark: SparkSession, folder: str) -> DataFrame:
+def token_faults(spark: SparkSession, folder: str) -> DataFrame:
     """Results by view and each of the five faults of their tokens; a recording lasts as its view says, else its chunks."""
     rows = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("k"), F.coalesce("view_id", F.lit("")).alias("view_id"), "chunk_count", "tokens").dropDuplicates(["result_id"])
     lasting = _views(spark, folder, "duration_seconds").select(F.col("view_id").alias("k"), "duration_seconds")
@@ -283,20 +237,6 @@ def rendered_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.render_groups(_tokens(spark, folder), ["result_id", "emit_chunk"], "token_index", "token")
 
 
-@query(f"with {_TL}, " + """
-w as (select window_index, view_id, chunk_range[1] as lo, chunk_range[2] as hi from (select window_index, any_value(lower(trim(view_id, chr(9) || ' '))) as view_id, any_value(chunk_range) as chunk_range from windows group by 1)),
-a as (select view_id, e.event_id as event_id, unnest(e.activity_chunk_ranges) as r from (select view_id, unnest(asg) as e from tl))
-select window_index, count(distinct event_id) as events from w join a on a.view_id = w.view_id and a.r[1] < w.hi and a.r[2] > w.lo and a.r[1] < a.r[2] and w.lo < w.hi group by 1""")
-def window_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events whose activity overlaps a window's chunks."""
-    windows = table(spark, folder, "windows").select("window_index", "view_id", "chunk_range").dropDuplicates(["window_index"])
-    left = windows.select(clean_id(F.col("view_id")).alias("view_id"), F.col("window_index").alias("left_id"), F.get("chunk_range", F.lit(0)).alias("lo"), F.get("chunk_range", F.lit(1)).alias("hi"))
-    lines = table(spark, folder, "timelines").select("view_id", "event_assignments").dropDuplicates(["view_id"])
-    ranges = lines.select("view_id", F.explode("event_assignments").alias("e")).select("view_id", F.col("e.event_id").alias("right_id"), F.explode("e.activity_chunk_ranges").alias("r"))
-    right = ranges.select("view_id", "right_id", F.get("r", F.lit(0)).alias("lo"), F.get("r", F.lit(1)).alias("hi"))
-    return grid.overlap_pairs(left, right, "view_id").distinct().groupBy(F.col("left_id").alias("window_index")).agg(F.count("*").alias("events"))
-
-
 @query(f"with {_TL}, " + """
 w as (select window_index, view_id, chunk_range[1] as lo, chunk_range[2] as hi from (select window_index, any_value(lower(trim(view_id, chr(9) || ' '))) as view_id, any_value(chunk_range) as chunk_range from windows group by 1)),
 e as (select view_id, unnest(asg) as e from tl),
@@ -304,14 +244,23 @@ a as (select view_id, e.event_id as event_id, unnest(e.activity_chunk_ranges) as
 m as (select window_index, event_id from w join a on a.view_id = w.view_id and a.r[1] < w.hi and a.r[2] > w.lo and a.r[1] < a.r[2] and w.lo < w.hi
   union select window_index, e.event_id from w join e on e.view_id = w.view_id and e.decision_chunk >= w.lo and e.decision_chunk < w.hi)
 select window_index, list_sort(list(distinct event_id)) as event_ids from m where event_id is not null group by 1""")
-def window_event_ids(spark: SparkSession, folder: str) -> DataFrame:
+def window_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events of each window: their activity overlaps its chunks, or their decision is in one of them."""
     windows = table(spark, folder, "windows").select("window_index", "view_id", "chunk_range").dropDuplicates(["window_index"])
     windows = windows.select(clean_id(F.col("view_id")).alias("view_id"), "window_index", F.get("chunk_range", F.lit(0)).alias("lo"), F.get("chunk_range", F.lit(1)).alias("hi"))
     return pipeline.window_events(windows, table(spark, folder, "timelines").select("view_id", "event_assignments").dropDuplicates(["view_id"]))
 
 
-@query()
+_PACKED = """, c as materialized (select view_id, u.i as i, case when u.s is null then 1000000 else 4 + coalesce(length(u.t), 0) end as c from (select view_id, unnest(list_transform(range(1, len(states) + 1), lambda i: {'i': i, 's': states[i], 't': txt[i]})) as u from tl)),
+p(view_id, i, w, cost, skip) as (
+  select view_id, i, 0, case when 2 + c > 1500 then 2 else 2 + c end, 2 + c > 1500 from c where i = 1
+  union all
+  select c.view_id, c.i, case when 2 + c.c > 1500 or p.skip or p.cost + c.c > 1500 then p.w + 1 else p.w end,
+    case when 2 + c.c > 1500 then 2 when p.skip or p.cost + c.c > 1500 then 2 + c.c else p.cost + c.c end, 2 + c.c > 1500
+  from p join c on c.view_id = p.view_id and c.i = p.i + 1)"""
+
+
+@query(f"with recursive {_TL}{_PACKED} select view_id, (min(i) - 1)::int as start_chunk, max(i)::int as stop_chunk, max(cost)::double as cost from p where not skip group by view_id, w")
 def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk groups of each view packed into windows of at most 1,500: two audio tokens, text, end and state a chunk.
 
@@ -479,7 +428,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return events.join(last, "event_id").select("lid", before.alias("before"), after.alias("after"))
 
 
-_PAIRS = f"""{_EV}, {_LATEST.replace("lower(trim(event_id))", "lower(trim(event_id, chr(9) || ' '))")},
+_PAIRS = f"""{_EV}, {_LATEST},
 pr as (select coalesce(lower(lid), 'none') as lid, coalesce(official_state = final_state, false) as before, coalesce(label_state = final_state, false) as after from ev join lab using (event_id))"""
 
 
@@ -488,7 +437,9 @@ def paired_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return stats.transitions(_pairs(spark, folder), ["lid"], F.col("before"), F.col("after"))
 
 
-@query()
+@query(f"with {_PAIRS}, m as (select lid, count(*) filter (not before and after) as improved, count(*) filter (before and not after) as regressed from pr group by 1)" + """
+select lid, improved, regressed, round(case when improved + regressed = 0 then 1 else least(1.0::double, 2 * list_sum(list_transform(range(least(improved, regressed) + 1),
+  lambda i: exp(lgamma(improved + regressed + 1) - lgamma(i + 1) - lgamma(improved + regressed - i + 1) - (improved + regressed) * ln(2::double))))) end, 9) as p_value from m""")
 def mcnemar_test(spark: SparkSession, folder: str) -> DataFrame:
     """Exact two-sided p-value by language."""
     moved = paired_transitions(spark, folder)
@@ -569,22 +520,6 @@ def rebuilt_views(spark: SparkSession, folder: str) -> DataFrame:
     return views.select("view_id", "chunk_count", true("target_active_by_chunk").alias("target_chunks"), true("other_active_by_chunk").alias("other_chunks"), true("overlap_by_chunk").alias("overlap_chunks"))
 
 
-@query(f"with {_EV}, {_SEG}, {_CELL}, {_CLAIM}, {_VIEW}, " + """
-x as (select view_id, chunk, min(state) as lo, max(state) as hi, bool_or(kind = 'activity') as covered from cl group by all),
-sz as (select vw.view_id, greatest(chunk_count, least(coalesce(l.last + 1, 0), chunk_count + 1)) as n from vw left join (select view_id, max(chunk) as last from cl where kind = 'terminal' group by 1) l using (view_id)),
-g as (select view_id, unnest(range(n)) as chunk from sz),
-a as (select view_id, i as chunk from (select view_id, unnest(ta) as t, unnest(range(len(ta))) as i from vw) where t),
-r as (select g.view_id, g.chunk, case when a.chunk is not null and not coalesce(x.covered, false) then 'uncovered' when x.lo <> x.hi then 'conflict' end as kind
-  from g left join x on x.view_id = g.view_id and x.chunk = g.chunk left join a on a.view_id = g.view_id and a.chunk = g.chunk),
-i as (select view_id, kind, chunk, chunk - row_number() over (partition by view_id, kind order by chunk) as isl from r where kind is not null)
-select view_id, kind, min(chunk)::int as start_chunk, (max(chunk) + 1)::int as stop_chunk from i group by view_id, kind, isl""")
-def quarantined_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranges of chunks that the timeline build quarantines, by kind."""
-    views = _views(spark, folder, "chunk_count", "target_active_by_chunk")
-    events = _events(spark, folder, "source_id", "channel", "final_state", "speaker_segments_ms")
-    return pipeline.build_timelines(views, events)[1]
-
-
 _FALLBACK = """fb as (select ev.event_id, vw.view_id, least(round(env[1])::bigint // 160, least(chunk_count, (round(env[2])::bigint + 159) // 160)) as lo, least(chunk_count, (round(env[2])::bigint + 159) // 160) as hi
   from ev join (select event_id, any_value(activity_fallback_candidate) as candidate from final_events group by 1) using (event_id) join vw on vw.source_id = ev.source_id and vw.channel = ev.channel
   where candidate and isfinite(env[1]) and isfinite(env[2]) and round(env[2]) > round(env[1]) and ev.event_id not in (select event_id from seg)),
@@ -594,7 +529,7 @@ tk as (select result_id, place, k.view_id, end_ms, chunk_count, ta, least(floor(
 tt as (select *, coalesce(list_bool_or(ta[greatest(lo - 2, 0) + 1:least(hi + 2, len(ta))]), false) as active from tk),
 pairs as (select tt.view_id, result_id, place, event_id from tt join fb on fb.view_id = tt.view_id and tt.lo < fb.hi + 2 and tt.hi > fb.lo - 2)"""
 _WHOLE = f"{_EV}, {_SEG}, {_CELL}, {_VIEW}, {_FALLBACK}, " + """
-every as (select view_id, event_id, chunk from cell union select view_id, event_id, unnest(range(lo, hi)) from fb where event_id in (select event_id from pairs)), """ + _CLAIM.replace("from cell c", "from every c") + """,
+every as (select view_id, event_id, chunk from cell join vw using (view_id) where chunk < chunk_count union select view_id, event_id, unnest(range(lo, hi)) from fb where event_id in (select event_id from pairs)), """ + _CLAIM.replace("from cell c", "from every c") + """,
 fo as (select view_id, unnest(range(lo, hi)) as chunk, 'fallback' as kind from fb where event_id not in (select event_id from pairs)
   union select view_id, greatest(0, least(chunk_count - 1, ceil(end_ms / 160.0::double) - 1))::bigint, 'outside' from tt where not active and (result_id, place) not in (select (result_id, place) from pairs)),
 x as (select view_id, chunk, min(state) as lo, max(state) as hi, bool_or(kind = 'activity') as covered from cl group by all),
@@ -617,7 +552,7 @@ def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
 @query(f"with {_EV}, {_SEG}, {_VIEW}, {_FALLBACK}, " + """
 n as (select view_id, list_sort(list(distinct event_id)) as event_ids from pairs group by 1)
 select tt.view_id, count(*) as tokens, count(*) filter (active or (result_id, place) in (select (result_id, place) from pairs)) as evidenced, coalesce(any_value(event_ids), []) as event_ids from tt left join n on n.view_id = tt.view_id group by 1""")
-def fallback_evidence(spark: SparkSession, folder: str) -> DataFrame:
+def token_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Timed tokens of each view, those near activity or the envelope of a fallback event, and the fallback events with a token near."""
     views, events, results = _whole(spark, folder)
     heard, pairs = tokens.evidence(results, views, pipeline.fallback_envelopes(views, events))
@@ -631,16 +566,30 @@ def fallback_evidence(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {_WHOLE}" + """
 select g.view_id, coalesce(p.kind, x.lo, 'user_idle') as outcome, count(*) as chunks from g left join x on x.view_id = g.view_id and x.chunk = g.chunk
   left join (select view_id, chunk, arg_min(kind, case kind when 'fallback' then 1 when 'outside' then 2 when 'uncovered' then 3 else 4 end) as kind from q group by all) p on p.view_id = g.view_id and p.chunk = g.chunk group by all""")
-def view_timeline(spark: SparkSession, folder: str) -> DataFrame:
+def state_timeline(spark: SparkSession, folder: str) -> DataFrame:
     """Resolved state of every chunk with recognition results heard, counted per view and outcome."""
-    cells = pipeline.resolved_cells(*_whole(spark, folder))
-    return cells.groupBy("view_id", F.coalesce("problem", "state").alias("outcome")).agg(F.count("*").alias("chunks"))
+    found = pipeline.resolved(*_whole(spark, folder))
+    return timeline.outcomes(found.cells, found.lengths)
+
+
+@query(f"with {_WHOLE}, " + """
+cf as (select distinct event_id from cl join x on x.view_id = cl.view_id and x.chunk = cl.chunk where x.lo <> x.hi),
+fc as (select event_id, coalesce(any_value(activity_fallback_candidate), false) as candidate from final_events group by 1),
+st8 as (select event_id, case when event_id in (select event_id from seg) then 'speaker_segments' when candidate then 'event_envelope_fallback' else 'none' end as activity_source,
+  case when event_id in (select event_id from cf) then 'state_conflict' when event_id in (select event_id from seg) or candidate and event_id in (select event_id from pairs) then 'applied' when candidate then 'missing_evidence' else 'non_acoustic_placeholder' end as status from fc)
+select activity_source, status, count(*) as events from st8 group by all""")
+def event_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by what their activity is known from and whether it was applied: conflicts fall on all who claim the chunk."""
+    views, events, results = _whole(spark, folder)
+    found = pipeline.resolved(views, events, results)
+    facts = events.select("event_id", (F.size(valid_pairs(F.col("speaker_segments_ms"))) > 0).alias("spoken"), F.coalesce("activity_fallback_candidate", F.lit(False)).alias("candidate"))
+    return timeline.statuses(facts, found.evidenced, found.claimed, found.cells).groupBy("activity_source", "status").agg(F.count("*").alias("events"))
 
 
 @query(f"with {_WHOLE}, " + """
 i as (select view_id, kind, chunk, chunk - row_number() over (partition by view_id, kind order by chunk) as isl from (select distinct view_id, kind, chunk from q))
 select view_id, kind, min(chunk)::int as start_chunk, (max(chunk) + 1)::int as stop_chunk from i group by view_id, kind, isl""")
-def view_quarantines(spark: SparkSession, folder: str) -> DataFrame:
+def quarantined_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Ranges of chunks of all four kinds of quarantine; a chunk may be of several."""
     return pipeline.build_timelines(*_whole(spark, folder))[1]
 
@@ -654,7 +603,22 @@ def _export_lines(spark: SparkSession, folder: str) -> DataFrame:
                         F.transform("chunk_states", _state_name).alias("chunk_states"), F.col("chunk_asr_targets").alias("chunk_texts"), audio.alias("chunk_audio"), other.alias("other_active_by_chunk"))
 
 
-@query()
+_GROUPS = """, src as (select view_id, any_value(source_id) as source_id, any_value(target_channel) as ch, any_value(other_active_count_by_chunk) as oc, any_value(overlap_by_chunk) as ov from timelines group by 1),
+g0 as (select view_id, u.i as i, coalesce(u.t, '') as t, regexp_replace(lower(trim(regexp_replace(u.s, '<\\||\\|>', '', 'g'))), '[\\s_-]+', '_', 'g') as s from (select view_id, unnest(list_transform(range(1, len(states) + 1), lambda i: {'i': i, 's': states[i], 't': txt[i]})) as u from tl)),
+g as (select *, coalesce(s in ('user_idle', 'user_nonidle', 'user_complete', 'user_incomplete', 'user_backchannel') and not contains(t, '<|') and not contains(t, '|>'), false) as ok from g0),
+c as materialized (select view_id, i, case when ok then 4 + length(t) else 1000000 end as c from g)""".replace("\\\\", "\\")
+_FOLD = _PACKED[_PACKED.index(",\np(view_id") :]
+
+
+@query(f"with recursive {_TL}{_GROUPS}{_FOLD}" + """,
+w as (select view_id, min(i) - 1 as lo, max(i) as hi, max(cost) as cost from p where not skip group by view_id, w),
+x as (select w.view_id, lo, hi, cost, string_agg('<|audio_' || ((i - 1) * 2 % 51866) || '|><|audio_' || (((i - 1) * 2 + 1) % 51866) || '|>' || t || '<|end_of_sentence|><|' || s || '|>', '' order by i) as body from w join g on g.view_id = w.view_id and g.i > w.lo and g.i <= w.hi group by all),
+a as (select view_id, unnest(asg) as e from tl),
+r as (select view_id, e.event_id as event_id, unnest(coalesce(e.activity_chunk_ranges, []) || [[e.decision_chunk, e.decision_chunk + 1]]) as r from a where e.event_id is not null),
+n as (select w.view_id, w.lo, list_sort(list(distinct event_id)) as ids from w join r on r.view_id = w.view_id and r.r[1] < w.hi and r.r[2] > w.lo and r.r[1] < r.r[2] group by all)
+select 'dlgset__' || source_id || printf('__ch%02d__c%06d-%06d', ch, x.lo, x.hi) as window_index, x.view_id, source_id, [x.lo::int, x.hi::int] as chunk_range, (x.hi - x.lo)::int as chunk_count, cost::int as tokenized_length,
+  len(list_filter(oc[x.lo + 1:x.hi], lambda y: y > 0))::int as other_active_chunk_count, len(list_filter(ov[x.lo + 1:x.hi], lambda y: y))::int as overlap_chunk_count,
+  '<|task_duplex_predict|><|punctuation_off|>' || body as sequence, coalesce(ids, []) as event_ids from x join src using (view_id) left join n on n.view_id = x.view_id and n.lo = x.lo""")
 def exported_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences packed from the stored timelines, with the events of each window."""
     return pipeline.export_sequences(_export_lines(spark, folder), set_name="dlgset")
@@ -674,20 +638,10 @@ def _state_name(raw):
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(raw, r"<\||\|>", ""))), r"[\s_-]+", "_")
 
 
-@query(f"with {_TL} select count(*) as traces, count(*) filter (len(states) = 0) as faulty from tl where states is not null")
-def trace_contract(spark: SparkSession, folder: str) -> DataFrame:
-    """Timelines read as traces of 160 ms steps, held against the trace contract."""
-    lines = table(spark, folder, "timelines").select("view_id", "chunk_states").dropDuplicates(["view_id"]).filter("chunk_states is not null")
-    names = lambda s: F.when(s.rlike("(?i)nonidle"), "nonidle").when(s.rlike("(?i)idle"), "idle").when(s.rlike("(?i)incomplete"), "wait").when(s.rlike("(?i)complete"), "speak").when(s.rlike("(?i)backchannel"), "backchannel").otherwise("unknown")
-    step = lambda s, i: F.struct(names(s).alias("state"), F.array(i * F.lit(0.16), (i + 1) * F.lit(0.16)).alias("timestamp"))
-    faults = contracts.trace_faults(F.transform("chunk_states", step))
-    return lines.agg(F.count("*").alias("traces"), F.count_if(F.size(faults) > 0).alias("faulty"))
-
-
 @query(f"with {_TL}, " + """f as (select view_id, unnest(list_filter([case when len(states) = 0 then 'empty' end,
   case when len(list_filter(states, lambda s: s is null or not regexp_matches(lower(s), 'idle|complete|backchannel|^unknown$'))) > 0 then 'state' end], lambda x: x is not null)) as fault from tl where states is not null)
 select fault, count(*) as traces from f group by 1""")
-def trace_state_faults(spark: SparkSession, folder: str) -> DataFrame:
+def trace_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Timelines read as traces, by fault; null and unreadable states are faults. They hold no timestamps, so ``time`` can't be one."""
     lines = table(spark, folder, "timelines").select("view_id", "chunk_states").dropDuplicates(["view_id"]).filter("chunk_states is not null")
     names = lambda s: F.when(s.rlike("(?i)nonidle"), "nonidle").when(s.rlike("(?i)idle"), "idle").when(s.rlike("(?i)incomplete"), "wait").when(s.rlike("(?i)complete"), "speak").when(s.rlike("(?i)backchannel"), "backchannel").when(s.rlike("(?i)^unknown$"), "unknown")
@@ -695,10 +649,9 @@ def trace_state_faults(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(F.explode(contracts.trace_faults(F.transform("chunk_states", step))).alias("fault")).groupBy("fault").agg(F.count("*").alias("traces"))
 
 
-@query(ORACLE["label_precedence"].replace("lower(trim(event_id))", "lower(trim(event_id, chr(9) || ' '))"))
-def label_origins(spark: SparkSession, folder: str) -> DataFrame:
-    """State of each event by precedence of sources, counted; label ids are cleaned of tabs too."""
-    given = table(spark, folder, "state_labels").select(clean_id(F.col("event_id")).alias("event_id"), "label_state", "ingested_at", "label_id").filter("event_id is not null")
-    last = labels.latest(given, "event_id", ["label_state"], ["ingested_at", "label_id"])
-    state, origin = labels.precedence(F.col("official_state"), F.col("label_state"))
-    return _events(spark, folder, "official_state").join(last, "event_id", "left").groupBy(state.alias("state"), origin.alias("origin")).agg(F.count("*").alias("events"))
+#: Names under which the full rules were first registered beside narrower ones, which they have since replaced.
+for _name, _query in {
+    "token_contract": "token_faults", "window_event_ids": "window_events", "fallback_evidence": "token_evidence", "view_timeline": "state_timeline",
+    "view_quarantines": "quarantined_ranges", "trace_state_faults": "trace_contract", "label_origins": "label_precedence",
+}.items():
+    QUERIES[_name], ORACLE[_name] = QUERIES[_query], ORACLE[_query]

@@ -7,6 +7,7 @@ recording's arrays are as long as the recording.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +62,32 @@ def fallback_envelopes(views: DataFrame, events: DataFrame) -> DataFrame:
     return spans.join(views.select("view_id", "chunk_count"), "view_id").select("view_id", "event_id", lo.alias("lo"), hi.alias("hi"))
 
 
-def resolved_cells(views: DataFrame, events: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """The timeline of every view in long form, as of :func:`timeline.resolve`.
+@dataclass
+class Resolved:
+    """What :func:`resolved` finds: touched chunks, lengths, claims, and fallback events with a token near."""
 
-    With ``results`` (``result_id``, ``view_id``, ``tokens``) the envelope of a
-    fallback event claims its chunks if a token is near, and is quarantined
-    (``fallback``) if none is; so is the chunk of each token that is near neither
-    activity nor such an envelope (``outside``).
+    cells: DataFrame
+    lengths: DataFrame
+    claimed: DataFrame
+    evidenced: DataFrame
+
+
+def resolved(views: DataFrame, events: DataFrame, results: DataFrame | None = None) -> Resolved:
+    """The timelines of all views, from annotated events and recognition results.
+
+    ``views``: ``view_id``, ``chunk_count``, ``target_active_by_chunk``; ``events``:
+    ``event_id``, ``source_id``, ``channel``, ``final_state``, ``speaker_segments_ms``,
+    ``activity_fallback_candidate``, ``effective_event_envelope_ms``; ``results``:
+    ``result_id``, ``view_id``, ``tokens``. Segments are clamped to the view. The
+    envelope of a fallback event claims its chunks if a token is near, and is
+    quarantined (``fallback``) if none is; so is the chunk of each token that is
+    near neither activity nor such an envelope (``outside``). Without ``results``
+    the annotation alone is judged, and events need no columns of fallback.
     """
-    spoken = events.select(ids.view_id(F.col("source_id"), F.col("channel")).alias("view_id"), "event_id", F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x"))
-    cells = grid.chunk_cells(spoken.select("view_id", "event_id", "x.start", "x.stop"), ["view_id", "event_id"])
-    forced = None
+    view = ids.view_id(F.col("source_id"), F.col("channel")).alias("view_id")
+    spoken = events.select(view, "event_id", F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x")).select("view_id", "event_id", "x.start", "x.stop")
+    cells = grid.chunk_cells(spoken.join(views.select("view_id", "chunk_count"), "view_id"), ["view_id", "event_id"], chunks="chunk_count")
+    forced, proven = None, events.select("event_id").limit(0)
     if results is not None:
         # both are small and read several times over
         envelopes = cut(fallback_envelopes(views, events))
@@ -85,25 +101,19 @@ def resolved_cells(views: DataFrame, events: DataFrame, results: DataFrame | Non
             outside.select("view_id", F.col("emit_chunk").cast("bigint").alias("chunk"), F.lit("outside").alias("kind")))
     claimed = timeline.claims(cells, events.select("event_id", F.col("final_state").alias("state")).distinct())
     active = views.select("view_id", F.posexplode("target_active_by_chunk").alias("chunk", "on")).filter("on").select("view_id", F.col("chunk").cast("bigint").alias("chunk"))
-    return timeline.resolve(claimed.join(views.select("view_id"), "view_id", "left_semi"), views, active, forced)
+    lengths = timeline.sizes(claimed, views)
+    return Resolved(timeline.touched(claimed, lengths, active, forced), lengths, claimed, proven)
 
 
 def build_timelines(views: DataFrame, events: DataFrame, results: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """States by chunk of each view, and the quarantined ranges with their kind.
-
-    ``views`` as of :func:`build_views`; ``events``: ``event_id``, ``source_id``,
-    ``channel``, ``final_state``, ``speaker_segments_ms``. For all four kinds of
-    quarantine ``results`` are needed, as in :func:`resolved_cells`, and of events
-    ``activity_fallback_candidate`` and ``effective_event_envelope_ms``; a chunk is
-    then in the ranges of every kind that holds. Without ``results`` only the
-    annotation is judged, and a chunk is in the ranges of its first kind.
+    """States by chunk of each view, and the quarantined ranges of all four kinds; see :func:`resolved`.
+
+    A chunk is in the ranges of every kind that holds.
     """
-    states = resolved_cells(views, events, results)
-    if results is None:
-        states = states.withColumn("problems", F.array("problem"))
-    lines = _nested(states, "view_id", ["state"]).toDF("view_id", "chunk_states")
+    found = resolved(views, events, results)
+    lines = _nested(timeline.filled(found.cells, found.lengths), "view_id", ["state"]).toDF("view_id", "chunk_states")
     lines = lines.withColumn("effective_chunk_count", F.size("chunk_states").cast("bigint"))
-    lost = states.select("view_id", F.explode("problems").alias("kind"), F.col("chunk").cast("int").alias("chunk")).filter("kind is not null")
+    lost = found.cells.select("view_id", F.explode("problems").alias("kind"), F.col("chunk").cast("int").alias("chunk"))
     lost = lost.groupBy("view_id", "kind").agg(F.array_sort(F.collect_list("chunk")).alias("at"))
     starts = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
     stops = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))

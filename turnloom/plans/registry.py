@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from turnloom.plans import corpus, dialogue, tables
+from turnloom.plans import (  # noqa: F401
+    audit,
+    corpus,
+    dialogue,
+    evaluation,
+    labelling,
+    tables,
+)
 
+# audit, evaluation and labelling register theirs with dialogue
 QUERIES = dialogue.QUERIES | tables.QUERIES | corpus.QUERIES
 ORACLE = dialogue.ORACLE | tables.ORACLE | corpus.ORACLE

@@ -7,14 +7,15 @@ holds one member at a time.
 
 from __future__ import annotations
 
-import glob
 import io
 import os
 import tarfile
 import wave
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,6 +35,11 @@ class TarMembers(DataSource):
         return _TarReader(self.options)
 
 
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores) and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+
+
 class _Archive(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -44,11 +50,19 @@ class _TarReader(DataSourceReader):
         self.path, self.suffix = options["path"], options.get("suffix", "")
 
     def partitions(self):
-        paths = sorted(glob.glob(os.path.join(self.path, "*.tar*"))) if os.path.isdir(self.path) else [self.path]
-        return [_Archive(p) for p in paths]
+        where, name = _filesystem(self.path)
+        info = where.get_file_info(name)
+        if info.type == fs.FileType.Directory:
+            found = sorted(x.path for x in where.get_file_info(fs.FileSelector(name)) if ".tar" in x.base_name and x.is_file)
+        elif info.type == fs.FileType.File:
+            found = [name]
+        else:
+            raise FileNotFoundError(self.path)
+        return [_Archive(p) for p in found]
 
     def read(self, partition: _Archive) -> Iterator[tuple]:
-        with tarfile.open(partition.path, "r|*") as tar:
+        where, _ = _filesystem(self.path)
+        with where.open_input_stream(partition.path, compression=None) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
             for member in tar:
                 if member.isfile() and member.name.endswith(self.suffix):
                     content = tar.extractfile(member).read()
@@ -66,10 +80,18 @@ def repeated_stems(members: DataFrame) -> DataFrame:
     return members.groupBy("stem").agg(F.count("*").alias("members")).filter("members > 1")
 
 
-def paired_members(audio: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Audio with its metadata by stem, and audio without any; metadata alone is ignored."""
+def paired_members(audio: DataFrame, metadata: DataFrame, fatal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Audio with its metadata by stem, and audio without any; metadata alone is ignored.
+
+    If ``fatal``, audio without metadata is an error.
+    """
     meta = metadata.select("stem", F.col("content").alias("metadata"))
-    return audio.join(meta, "stem"), audio.join(meta, "stem", "left_anti")
+    lone = audio.join(meta, "stem", "left_anti")
+    if fatal:
+        some = [r[0] for r in lone.select("stem").limit(5).collect()]
+        if some:
+            raise ValueError(f"audio without metadata: {some}")
+    return audio.join(meta, "stem"), lone
 
 
 def wav_header(content: bytes) -> tuple[int, int, int, int]:
@@ -100,6 +122,14 @@ def read_wav(members: DataFrame) -> DataFrame:
     return members.select("stem", "content").mapInPandas(run, "stem string, channels int, width int, rate int, frames long, chunk_count long, pcm binary, error string")
 
 
+def mono_float(content: bytes, rate: int = 16_000) -> np.ndarray:
+    """Samples of a mono 16-bit WAV file as 32-bit floats in [-1, 1); any other format is an error."""
+    with wave.open(io.BytesIO(content)) as w:
+        if (w.getnchannels(), w.getsampwidth(), w.getframerate()) != (1, 2, rate):
+            raise ValueError(f"not mono 16-bit at {rate} Hz")
+        return np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / np.float32(32_768)
+
+
 def pcm16_wav(samples: bytes, rate: int = 16_000) -> bytes:
     """Mono 16-bit PCM as the bytes of a WAV file."""
     out = io.BytesIO()
