@@ -115,3 +115,124 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.sql("select * from seen").count() == 3
     timely, late = replay.split_late(df.withColumn("arrived", F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, value)")), "ts", "arrived", "100 seconds")
     assert (timely.count(), late.count()) == (101, 399)
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("complete/b.wav", "complete/a.wav", "incomplete/c.wav", "complete/x.txt"):
+        os.makedirs(tmp_path / "set" / os.path.dirname(name), exist_ok=True)
+        (tmp_path / "set" / name).write_text("x")
+    found = files.walked(spark, str(tmp_path / "set"))
+    assert [(r["place"], r["path"]) for r in found.orderBy("place").collect()] == [(0, "complete/a.wav"), (1, "complete/b.wav"), (2, "incomplete/c.wav")]
+    bad = files.discovery_faults(found.union(found.filter("place = 0")), "complete", 3)
+    assert sorted(map(tuple, bad.collect())) == [("4", "number"), ("complete/a.wav", "repeated"), ("incomplete/c.wav", "label")]
+    long = tmp_path / "long.jsonl"
+    long.write_text("".join(f'{{"wav": "w{i}"}}\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = files.read_listed(spark, str(long))
+        assert got.rdd.getNumPartitions() > 0 and [r["path"] for r in got.orderBy("place").collect()] == [f"w{i}" for i in range(3000)]
+        assert [r["place"] for r in got.orderBy("place").collect()] == list(range(3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_replacing_requests_and_secrets(spark, tmp_path):
+    df, target = spark.range(3), str(tmp_path / "t")
+    files.replace(spark, target, lambda folder: files.write_parquet(df, folder))
+    files.replace(spark, target, lambda folder: files.write_parquet(df.filter("id > 0"), folder))
+    assert spark.read.parquet(target).count() == 2 and sorted(os.listdir(tmp_path)) == ["t"]
+
+    def fail(folder):
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        files.replace(spark, target, fail)
+    assert spark.read.parquet(target).count() == 2
+    (tmp_path / "one.json").write_text('{\n "a": 1}')
+    (tmp_path / "many.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert [files.read_requests(spark, str(tmp_path / n), "a int").count() for n in ("one.json", "many.jsonl")] == [1, 2]
+    secret = tmp_path / ".env"
+    secret.write_text('# x\nOTHER=1\nKEY = "v=1"\n')
+    secret.chmod(0o644)
+    with pytest.raises(PermissionError):
+        files.read_secret(str(secret), "KEY")
+    secret.chmod(0o600)
+    assert files.read_secret(str(secret), "KEY") == "v=1"
+    with pytest.raises(KeyError):
+        files.read_secret(str(secret), "NONE")
+
+
+def test_large_file_is_read_in_blocks(spark, tmp_path):
+    import hashlib
+
+    content = os.urandom(100_000)
+    (tmp_path / "big.bin").write_bytes(content)
+    assert [tuple(r) for r in files.inventory(spark, str(tmp_path), block=4_096).collect()] == [("big.bin", 100_000, hashlib.sha256(content).hexdigest())]
+
+
+def test_mono_samples(spark):
+    import numpy as np
+
+    from turnloom.functions import audio
+
+    samples = np.array([0, 16_384, -32_768], "<i2")
+    wav = archives.pcm16_wav(samples.tobytes())
+    assert archives.mono_float(wav).tolist() == [0.0, 0.5, -1.0] and archives.mono_float(wav).dtype == np.float32
+    with pytest.raises(ValueError):
+        archives.mono_float(archives.pcm16_wav(samples.tobytes(), 8_000))
+    pcm = np.arange(9_600, dtype="<i2").tobytes()
+    made = audio.target_audio(spark.createDataFrame([("v", pcm, 2, 1), ("n", None, 2, 0)], "view_id string, pcm binary, channels int, target int"))
+    got = {r["view_id"]: r for r in audio.audio_manifest(made).collect()}
+    assert (got["v"]["frames"], got["v"]["padded_frames"], got["v"]["chunk_count"], got["n"]["chunk_count"]) == (1_600, 2_560, 1, 0)
+    assert len(got["v"]["signature"]) == 64 and got["n"]["audio_sha256"] is None
+
+
+def test_remote_rules():
+    log = []
+
+    def call(error):
+        def run(request):
+            log.append(request)
+            raise error
+
+        return run
+
+    assert hooks.retried(call(hooks.Refused(503)), 3, again=hooks.may_pass)("q")[1] == "Refused: 503" and len(log) == 3
+    assert hooks.retried(call(hooks.Refused(400, "no")), 3, again=hooks.may_pass)("q")[1] == "Refused: 400 no" and len(log) == 4
+    asked = []
+    answer = hooks.corrected(lambda q: asked.append(q) or ("good" if "bad answer" in q else "bad"), lambda a: [] if a == "good" else ["bad answer"])("q")
+    assert answer == ("good", 2, []) and asked[1].startswith("q\n")
+    assert hooks.corrected(lambda q: "bad", lambda a: ["x"], 2)("q") == (None, 2, ["x"])
+    heard = hooks.with_fallback(lambda x: "" if x else 1 / 0)
+    assert heard(1) == ("", "no text") and heard(0)[1].startswith("ZeroDivisionError")
+    once = hooks.Remembered(lambda b: b.decode().upper(), "m")
+    assert [once(b"a"), once(b"b"), once(b"a")] == ["A", "B", "A"] and [hit for _, _, hit in once.calls] == [False, False, True]
+
+
+def test_formats_reports_and_identities(spark, capsys, tmp_path):
+    import hashlib
+
+    from turnloom import __main__ as command
+    from turnloom.functions import formats, hashing
+    from turnloom.sources import reports
+
+    df = spark.createDataFrame([(1234.5, {"a": 1, "b": 2}, {"b": 3}, "hi 👩‍🏫!", [3.0, 4.0, None])], "x double, m map<string,int>, o map<string,int>, t string, v array<double>")
+    got = df.select(formats.fixed(F.col("x"), 2), formats.merged(F.col("m"), F.col("o")), formats.merged(F.lit(None).cast("map<string,int>"), F.col("o")), formats.without_emoji(F.col("t")), formats.l2_norm(F.col("v"))).first()
+    assert tuple(got) == ("1234.50", {"a": 1, "b": 3}, {"b": 3}, "hi !", 5.0)
+    table = spark.createDataFrame([("a|b", 0.12345, None)], "k string, v double, n int")
+    assert reports.markdown_table(table) == "| k | v | n |\n|---|---|---|\n| a\\|b | 0.123 | — |"
+    assert "<td>a|b</td><td>0.12</td>" in reports.html_table(table, 2)
+    with pytest.raises(ValueError):
+        reports.markdown_table(spark.range(5), most=4)
+    files_ = [(i, f"p{i}", i, "s") for i in range(2000)]
+    lines = [hashlib.sha256(f"p{i}\n{i}\ns".encode()).hexdigest() for i in range(2000)]
+    parts = [hashlib.sha256("".join(lines[a : a + 1024]).encode()).hexdigest() for a in (0, 1024)]
+    identity = hashing.inventory_identity(spark.createDataFrame(files_, "place bigint, path string, size bigint, sha256 string").orderBy(F.rand(1)))
+    assert identity.first()[0] == hashlib.sha256("".join(parts).encode()).hexdigest()
+    maps = spark.createDataFrame([({"b": "2", "a": "1"},)], "m map<string,string>")
+    assert maps.select(hashing.map_signature(F.col("m"))).first()[0] == hashlib.sha256(b'{"a":"1","b":"2"}').hexdigest()
+    key = maps.select(hashing.buffer_key(F.lit("id"), F.lit(16000), F.lit("<i2"), F.lit("[1]"), F.lit(bytearray(b"\x00\x01")))).first()[0]
+    assert key == hashlib.sha256(b"id\n16000\n<i2\n[1]\n\x00\x01").hexdigest()
+    assert formats.git_identity(str(tmp_path))["commit"] == ""
+    with pytest.raises(SystemExit):
+        command.main(["source_summary", "x", "--out", "y", "--report"])

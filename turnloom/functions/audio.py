@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnloom.functions.hashing import signature
 
 RATE, SOURCE_RATE, CHUNK_MS = 16_000, 48_000, 160
 
@@ -41,6 +44,20 @@ def segments(samples: np.ndarray, size: int = 30 * RATE) -> list[np.ndarray]:
     return [samples[i : i + size] for i in range(0, len(samples), size)]
 
 
+#: What audio was made by: part of its signature, so that a change of method makes other signatures.
+PROFILE = "kaiser-5-third-rate-pad-160ms"
+
+
+def audio_manifest(made: DataFrame) -> DataFrame:
+    """What :func:`target_audio` made of each view, without the samples: hash, lengths, chunks, and a signature."""
+    padded = F.col("frames") + F.col("padding")
+    rows = made.select(
+        "view_id", "frames", F.col("padding").alias("padding_samples"), padded.alias("padded_frames"), F.floor(padded * 1000 / (RATE * CHUNK_MS)).alias("chunk_count"),
+        F.sha2("audio", 256).alias("audio_sha256"), F.lit(RATE).alias("sample_rate"), (F.col("frames") * 1000.0 / RATE).alias("duration_ms"),
+    )
+    return rows.withColumn("signature", signature(audio=F.col("audio_sha256"), profile=F.lit(PROFILE), rate=F.col("sample_rate"), view=F.col("view_id")))
+
+
 def target_audio(rows: DataFrame) -> DataFrame:
     """Per row of ``view_id``, ``pcm`` (interleaved, 48 kHz), ``channels``, ``target``: the track at 16 kHz.
 
