@@ -39,6 +39,20 @@ def claims(cells: DataFrame, states: DataFrame) -> DataFrame:
     return activity.unionByName(ends.select("view_id", "chunk", "event_id", F.lit("terminal").alias("kind"), F.col("terminal").alias("state")))
 
 
+def span_claims(spans: DataFrame) -> DataFrame:
+    """As :func:`claims`, from chunk ranges ``view_id``, ``event_id``, ``state``, ``lo``, ``hi`` of events.
+
+    The state goes with the ranges, so no cell is joined, and the chunk after an
+    event's last one follows from its ranges' ends. Ranges may repeat and meet; a
+    chunk then comes in several equal claims, which change nothing.
+    """
+    known = spans.filter("lo < hi").withColumn("active", _mapped(F.col("state"), ACTIVE)).withColumn("terminal", _mapped(F.col("state"), TERMINAL)).filter("active is not null")
+    chunk = F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("chunk")
+    activity = known.select("view_id", chunk, "event_id", F.lit("activity").alias("kind"), F.col("active").alias("state"))
+    ends = known.filter("terminal is not null").groupBy("view_id", "event_id", "terminal").agg(F.max("hi").alias("chunk"))
+    return activity.unionByName(ends.select("view_id", "chunk", "event_id", F.lit("terminal").alias("kind"), F.col("terminal").alias("state")))
+
+
 def sizes(claimed: DataFrame, grid: DataFrame) -> DataFrame:
     """``(view_id, size)``: chunks of each view's timeline: a chunk more than the view has if a terminal claim needs it."""
     longer = claimed.filter("kind = 'terminal'").groupBy("view_id").agg(F.max("chunk").alias("last"))

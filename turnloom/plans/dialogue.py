@@ -541,9 +541,10 @@ q as (select view_id, chunk, kind from fo union all select g.view_id, g.chunk, '
 
 
 def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What timelines are built of: views, events, and recognition results."""
+    """What timelines are built of: views, events (repeated rows change nothing), and recognition results."""
     views = _views(spark, folder, "chunk_count", "target_active_by_chunk")
-    events = _events(spark, folder, "source_id", "channel", "final_state", "speaker_segments_ms", "activity_fallback_candidate", "effective_event_envelope_ms")
+    names = ("event_id", "source_id", "channel", "final_state", "speaker_segments_ms", "activity_fallback_candidate", "effective_event_envelope_ms")
+    events = table(spark, folder, "final_events").select(*names)
     times = F.transform("tokens", lambda t: F.struct(t["start_ms"].alias("start_ms"), t["end_ms"].alias("end_ms")))
     results = table(spark, folder, "asr_results").select("result_id", clean_id(F.col("view_id")).alias("view_id"), times.alias("tokens")).dropDuplicates(["result_id"])
     return views, events, results
@@ -582,7 +583,7 @@ def event_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """Events by what their activity is known from and whether it was applied: conflicts fall on all who claim the chunk."""
     views, events, results = _whole(spark, folder)
     found = pipeline.resolved(views, events, results)
-    facts = events.select("event_id", (F.size(valid_pairs(F.col("speaker_segments_ms"))) > 0).alias("spoken"), F.coalesce("activity_fallback_candidate", F.lit(False)).alias("candidate"))
+    facts = events.dropDuplicates(["event_id"]).select("event_id", (F.size(valid_pairs(F.col("speaker_segments_ms"))) > 0).alias("spoken"), F.coalesce("activity_fallback_candidate", F.lit(False)).alias("candidate"))
     return timeline.statuses(facts, found.evidenced, found.claimed, found.cells).groupBy("activity_source", "status").agg(F.count("*").alias("events"))
 
 

@@ -57,7 +57,7 @@ def fallback_envelopes(views: DataFrame, events: DataFrame) -> DataFrame:
     """
     view = ids.view_id(F.col("source_id"), F.col("channel")).alias("view_id")
     bare = events.filter(F.col("activity_fallback_candidate") & (F.size(valid_pairs(F.col("speaker_segments_ms"))) == 0))
-    spans = bare.select(view, "event_id", valid_pair(F.col("effective_event_envelope_ms")).alias("x")).filter("x is not null")
+    spans = bare.select(view, "event_id", valid_pair(F.col("effective_event_envelope_ms")).alias("x")).filter("x is not null").distinct()
     lo, hi = chunk_range(F.col("x.start").cast("double"), F.col("x.stop").cast("double"), F.col("chunk_count"))
     return spans.join(views.select("view_id", "chunk_count"), "view_id").select("view_id", "event_id", lo.alias("lo"), hi.alias("hi"))
 
@@ -85,21 +85,24 @@ def resolved(views: DataFrame, events: DataFrame, results: DataFrame | None = No
     the annotation alone is judged, and events need no columns of fallback.
     """
     view = ids.view_id(F.col("source_id"), F.col("channel")).alias("view_id")
-    spoken = events.select(view, "event_id", F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x")).select("view_id", "event_id", "x.start", "x.stop")
-    cells = grid.chunk_cells(spoken.join(views.select("view_id", "chunk_count"), "view_id"), ["view_id", "event_id"], chunks="chunk_count")
+    state = F.col("final_state").alias("state")
+    spoken = events.select(view, "event_id", state, F.explode(valid_pairs(F.col("speaker_segments_ms"))).alias("x")).join(views.select("view_id", "chunk_count"), "view_id")
+    lo, hi = chunk_range(F.col("x.start").cast("double"), F.col("x.stop").cast("double"), F.col("chunk_count"))
+    spans = spoken.select("view_id", "event_id", "state", lo.alias("lo"), hi.alias("hi"))
     forced, proven = None, events.select("event_id").limit(0)
     if results is not None:
         # both are small and read several times over
         envelopes = cut(fallback_envelopes(views, events))
         heard, pairs = tokens.evidence(results, views, envelopes)
         pairs = cut(pairs)
-        chunks = envelopes.filter("lo < hi").select("view_id", "event_id", F.explode(F.expr("sequence(lo, hi - 1)")).alias("chunk"))
         proven = pairs.select("event_id").distinct()
-        cells = cells.unionByName(chunks.join(proven, "event_id", "left_semi").select("view_id", "event_id", "chunk"))
+        states = events.select("event_id", state).join(proven, "event_id", "left_semi").distinct()
+        spans = spans.unionByName(envelopes.join(states, "event_id").select("view_id", "event_id", "state", "lo", "hi"))
         outside = heard.filter("not active").join(pairs, ["result_id", "place"], "left_anti")
-        forced = chunks.join(proven, "event_id", "left_anti").select("view_id", "chunk", F.lit("fallback").alias("kind")).unionByName(
+        unproven = envelopes.join(proven, "event_id", "left_anti").filter("lo < hi")
+        forced = unproven.select("view_id", F.explode(F.expr("sequence(lo, hi - 1)")).alias("chunk"), F.lit("fallback").alias("kind")).unionByName(
             outside.select("view_id", F.col("emit_chunk").cast("bigint").alias("chunk"), F.lit("outside").alias("kind")))
-    claimed = timeline.claims(cells, events.select("event_id", F.col("final_state").alias("state")).distinct())
+    claimed = timeline.span_claims(spans)
     active = views.select("view_id", F.posexplode("target_active_by_chunk").alias("chunk", "on")).filter("on").select("view_id", F.col("chunk").cast("bigint").alias("chunk"))
     lengths = timeline.sizes(claimed, views)
     return Resolved(timeline.touched(claimed, lengths, active, forced), lengths, claimed, proven)
