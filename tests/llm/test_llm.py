@@ -351,6 +351,18 @@ def test_spam(spark):
     assert spam.spam_documents(df.filter("doc_id < 0")).count() == 0
 
 
+def test_parts_of_batches():
+    import pyarrow as pa
+
+    from turnloom.llm import batches
+
+    texts = ["ab", None, "x" * 50, "", "abc", "defg", "h" * 9, "i"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    got = [b.column(0).to_pylist() for b in batches.parts(batch, (1,), 3, 10)]
+    assert got == [[0, 1], [2], [3, 4, 5], [6, 7]] and not list(batches.parts(batch.slice(0, 0), (1,), 3, 10))
+    assert [len(b) for b in batches.parts(batch, (1,), 3, 10**6)] == [3, 3, 2]
+
+
 def test_queries_have_sql_or_tests():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert {f"p{n}_found" for n in (2, 3, 4, 6, 8, 9)} | {"p7_ids"} <= set(queries.QUERIES)

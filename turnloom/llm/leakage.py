@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.batches import parts as parts_of
 from turnloom.session import cut
 
 #: Units in common that make a case.
@@ -318,14 +319,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", it
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCUMENTS):
-                batch = whole.slice(at, DOCUMENTS)
+            for batch in parts_of(whole, (1,), DOCUMENTS):
                 yield _table("d", batch.column(0), _regions(batch.column(1).to_pylist(), known.value, bounds))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, PAIRS):
-                batch = whole.slice(at, PAIRS)
+            for batch in parts_of(whole, (2, 3), PAIRS):
                 found = [occurrence(p, r, bounds) for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 good = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good), pa.array([x for x in found if x is not None], pa.int32())], names=["part", "region", "edits"])

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.batches import parts
 from turnloom.session import cut
 
 #: Common function words of languages, and the script that each is written in.
@@ -93,6 +94,8 @@ RIDGE = 0.01
 BIN, BINS = 1 / 256, 4_096
 #: Lines that a language needs for a model of its own.
 LEAST_LINES = 500
+#: Documents measured together.
+DOCUMENTS = 500
 #: Tokens over which recurrence is counted, and to which shorter texts are scaled (three-fold at most, from 30 tokens on).
 STRETCH = 200
 #: Tokens a line needs to speak for itself; neutral shares of function words and sentence ends by script.
@@ -258,8 +261,7 @@ def _measured(documents: DataFrame, doc: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in parts(whole, (1,), DOCUMENTS):
                 got = measure(batch.column(1).to_pylist())
                 values = [pa.array(got.chars, pa.int32()), *(pa.array(got.features[:, j], pa.float32()) for j in range(len(FEATURES)))]
                 lines = pa.ListArray.from_arrays(pa.array(got.first, pa.int32()), pa.StructArray.from_arrays(values, names))
