@@ -214,3 +214,11 @@ def test_target_vs_rest(spark):
     cells = spark.createDataFrame([("s", c, k) for c, ks in ((0, [1, 2, 3]), (1, [3, 4]), (2, [3, 9])) for k in ks] + [("t", 0, 5)], "source_id string, channel int, chunk bigint")
     views = spark.createDataFrame([("s0", "s", 0), ("s1", "s", 1), ("s5", "s", 5), ("t0", "t", 0), ("n", "none", 0)], "view_id string, source_id string, channel int")
     assert rows(grid.target_vs_rest(cells, views)) == [("n", 0, 0, 0, 0), ("s0", 3, 3, 1, 2), ("s1", 2, 4, 1, 2), ("s5", 0, 5, 0, 3), ("t0", 1, 0, 0, 0)]
+
+
+def test_view_contract_finds_planted_faults(spark):
+    good = ("g", 3, [True, True, False], [False, True, True], [False, True, False], [0, 1, 2])
+    views = [good, ("length", 4, *good[2:]), ("count", 3, good[2], [False, True, False], [False, True, False], good[5]), ("overlap", 3, good[2], good[3], [True, True, False], good[5]), ("null", 3, None, None, None, None)]
+    names = "target_active_by_chunk array<boolean>, other_active_by_chunk array<boolean>, overlap_by_chunk array<boolean>, other_active_count_by_chunk array<int>"
+    got = {r["view_id"]: r["faults"] for r in checks.view_faults(spark.createDataFrame(views, f"view_id string, chunk_count int, {names}")).collect()}
+    assert {k: v for k, v in got.items() if k != "null"} == {"length": ["length"], "count": ["count"], "overlap": ["overlap"]}
