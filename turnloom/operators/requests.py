@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators import labels
+from turnloom.operators import grid, labels
 
 #: Tokens a request may ask for, least, most and by event.
 LEAST_TOKENS, MOST_TOKENS, EVENT_TOKENS = 1024, 8192, 160
@@ -95,6 +95,4 @@ def finalised(events: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame
 
 def relation_of(lo: Column, hi: Column, arrays: dict[str, Column]) -> list[Column]:
     """What a chunk range covers of its view, as :func:`grid.slice_sums`, for the record of an event in a request."""
-    from turnloom.operators import grid
-
     return [lo.alias("chunk_start"), hi.alias("chunk_stop"), *grid.slice_sums(lo, hi, arrays["target"], arrays["other"], arrays["overlap"], arrays["counts"])]
