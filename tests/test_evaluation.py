@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import audit, evaluation, requests
+from turnloom.plans.registry import QUERIES
 
 
 def rows(df):
@@ -104,6 +105,49 @@ def test_requests(spark):
     assert [(r["source_id"], r["max_tokens"]) for r in sizes.orderBy("source_id").collect()] == [("s", 1024), ("t", 1600), ("u", 8192)]
 
 
+def test_relations_of_blocks(spark):
+    rng = random.Random(2)
+    flags = lambda n: [rng.choice([True, False, None]) for _ in range(n)]
+    numbers = lambda n: [rng.choice([0, 1, 2, 3, None]) for _ in range(n)]
+    sizes = {"a": 23, "b": 8, "c": 1, "d": 0, "e": 12}
+    views = [(k, k, 0, n, flags(n), flags(n), flags(n), numbers(n)) for k, n in sizes.items()]
+    views += [(None, "f", 0, 9, flags(9), flags(4), None, [-2] * 9), ("g", "g", 0, None, flags(9), flags(9), flags(9), None), ("a2", "a", 0, 10, flags(10), flags(12), flags(10), numbers(9))]
+    bounds = [(0, 1), (0, 160), (159, 161), (639, 641), (640, 1280), (0, 10**6), (1000, 1100), (3000, 3700), (10**15, 2 * 10**15), (0, 3 * 10**11), (2**62, 2**62 + 1)]
+    events = [(f"{k}{i}", k, 0, a, b) for k in "abcdefgh" for i, (a, b) in enumerate(bounds) if not (k == "g" and b > 3 * 10**11)]
+    events += [(None, "a", 0, 0, 320), ("z", "a", 1, 0, 320)]
+    names = ["t", "o", "v", "n"]
+    given = spark.createDataFrame(views, "view_id string, source_id string, channel int, chunk_count bigint, t array<boolean>, o array<boolean>, v array<boolean>, n array<int>")
+    got = requests.relations(spark.createDataFrame(events, "event_id string, source_id string, channel int, start bigint, stop bigint"), given, names, 4)
+
+    def expected(e, v):
+        hi = -(-e[4] // 160) if v[3] is None else min(v[3], -(-e[4] // 160))
+        lo = min(e[3] // 160, hi)
+        true = lambda x: None if x is None else sum(y is True for y in x[lo:hi])
+        return (*e[:3], lo, hi, hi - lo, true(v[4]), true(v[5]), true(v[6]), max((y for y in (v[7] or [])[lo:hi] if y is not None), default=0))
+
+    by_row = lambda x: sorted(x, key=repr)
+    assert by_row(map(tuple, got.collect())) == by_row(expected(e, v) for e in events for v in views if e[1:3] == v[1:3])
+
+
+def test_request_events_of_a_long_view(spark, tmp_path):
+    """A view of 400,000 chunks with 20,000 events: with its arrays in each event's row that is 56 GB."""
+    folder, size = str(tmp_path), 400_000
+    of = lambda each: F.expr(f"transform(sequence(0, {size - 1}), i -> {each})")
+    spark.range(1).select(
+        F.lit("s/target-ch00").alias("view_id"), F.lit("s").alias("source_id"), F.lit(0).alias("target_channel"), F.lit(size).cast("bigint").alias("chunk_count"), of("i % 2 = 0").alias("target_active_by_chunk"),
+        of("i % 5 = 0").alias("other_active_by_chunk"), of("i % 10 = 0").alias("overlap_by_chunk"), of("i % 5").alias("other_active_count_by_chunk"),
+    ).write.parquet(f"{folder}/target_views.parquet")
+    start = F.col("id") * 3200.0
+    spark.range(20_000).select(
+        F.format_string("e%05d", "id").alias("event_id"), F.lit("s").alias("source_id"), F.lit(0).alias("channel"), F.lit(0).alias("ordinal"), start.alias("start_ms"),
+        F.lit(None).cast("string").alias("official_state"), F.array(start, start + 1600.0).alias("effective_event_envelope_ms"),
+    ).write.parquet(f"{folder}/final_events.parquet")
+    got = QUERIES["request_events"](spark, folder)
+    in_place = (F.col("chunk_start") == F.col("place") * 20) & (F.col("chunk_stop") == F.col("place") * 20 + 10)
+    sums = got.groupBy("chunk_span", "target_chunks", "other_chunks", "overlap_chunks", "most_other").agg(F.count_if(in_place), F.countDistinct("place"))
+    assert rows(sums) == [(10, 5, 2, 1, 4, 20_000, 20_000)]
+
+
 def test_responses_and_finalising(spark):
     label = "array<struct<event_id string, state string, confidence double, reason string>>"
     ok = lambda *ids: [(i, "complete", 0.5, "r") for i in ids]

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators import grid, labels
+from turnloom.functions.bounds import chunk_range
+from turnloom.operators import labels
+from turnloom.session import cut
 
 #: Tokens a request may ask for, least, most and by event.
 LEAST_TOKENS, MOST_TOKENS, EVENT_TOKENS = 1024, 8192, 160
+#: Chunks in a block of a view.
+BLOCK = 256
 
 
 def timed_places(rows: DataFrame, key: str, at: str, order: list[str], span: float = 600_000.0) -> DataFrame:
@@ -93,6 +97,49 @@ def finalised(events: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame
     return rows, both.select("event_id", F.explode(fault).alias("fault"))
 
 
-def relation_of(lo: Column, hi: Column, arrays: dict[str, Column]) -> list[Column]:
-    """What a chunk range covers of its view, as :func:`grid.slice_sums`, for the record of an event in a request."""
-    return [lo.alias("chunk_start"), hi.alias("chunk_stop"), *grid.slice_sums(lo, hi, arrays["target"], arrays["other"], arrays["overlap"], arrays["counts"])]
+def _blocks(views: DataFrame, arrays: list[str], block: int) -> DataFrame:
+    """A row per ``block`` chunks of a view: its other columns, the number of ``blocks``, this one's place and its part of each array.
+
+    Elements are fetched by place, as a slice copies the whole array each time.
+    The last part is filled up with nulls; null arrays stay null, and a view without chunks has one block.
+    """
+    longest = F.greatest(F.lit(0), *[F.coalesce(F.size(a), F.lit(0)) for a in arrays])
+    blocks = F.greatest(F.ceil(longest / block), F.lit(1)).cast("int")
+
+    def part(a: str, k: Column) -> Column:
+        return F.when(F.col(a).isNotNull(), F.transform(F.sequence(k * block, k * block + (block - 1)), lambda i: F.get(F.col(a), i)))
+
+    parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("block"), *[part(a, k).alias(a) for a in arrays]))
+    return views.select(*[c for c in views.columns if c not in arrays], blocks.alias("blocks"), F.inline(parts))
+
+
+def relations(events: DataFrame, views: DataFrame, arrays: list[str], block: int = BLOCK) -> DataFrame:
+    """Events with what their chunk range covers of the view of their track, as :func:`grid.slice_sums`, and ``chunk_start`` and ``chunk_stop``.
+
+    ``events``: ``source_id``, ``channel``, BIGINT ``start`` and ``stop`` in ms, which
+    don't come out, and any other columns; together they tell a row. ``views``:
+    ``view_id``, ``source_id``, ``channel``, ``chunk_count`` and the ``arrays`` target,
+    other, overlap and counts. A view is cut into blocks, written once to the shared
+    folder, and an event meets the blocks that it touches only: a long view's arrays
+    are never copied for each of its events. A range of no chunks meets one block.
+    """
+    blocks = cut(_blocks(views.select("view_id", "source_id", "channel", "chunk_count", *arrays), arrays, block))
+    heads = blocks.filter("block = 0").select("view_id", "source_id", "channel", "chunk_count", "blocks")
+    lo, hi = chunk_range(F.col("start").cast("double"), F.col("stop").cast("double"), F.col("chunk_count"))
+    own = [c for c in events.columns if c not in ("start", "stop")]
+    ranged = events.join(heads, ["source_id", "channel"]).select(*own, "view_id", "blocks", lo.alias("chunk_start"), hi.alias("chunk_stop"))
+    near = lambda chunk: F.least(F.floor(chunk / block), F.col("blocks") - 1).cast("int")
+    touched = F.sequence(near(F.col("chunk_start")), near(F.greatest(F.col("chunk_stop") - 1, F.col("chunk_start"))))
+    kept = [*own, "chunk_start", "chunk_stop"]
+    pieces = ranged.select(*kept, F.col("view_id").alias("_view"), F.explode(touched).alias("_block"))
+
+    # merged with pieces first, as a block that meets its pieces is copied for all of them at once; arrays compress so well that sizes on disk mislead the optimizer
+    met = pieces.join(blocks.select("view_id", "block", *arrays).hint("merge"), F.col("_view").eqNullSafe(F.col("view_id")) & (F.col("_block") == F.col("block")))
+    inside = lambda c: F.least(F.greatest(F.col(c) - F.col("block") * F.lit(block).cast("bigint"), F.lit(0)), F.lit(block)).cast("int")
+    start, size = inside("chunk_start"), inside("chunk_stop") - inside("chunk_start")
+    part = lambda a: F.slice(F.col(a), start + 1, size)
+    names = ["target_chunks", "other_chunks", "overlap_chunks"]
+    counted = [F.size(F.filter(part(a), lambda x: x)).alias(n) for a, n in zip(arrays, names)]
+    summed = met.select(*kept, "_view", *counted, F.array_max(part(arrays[3])).alias("most_other")).groupBy(*kept, "_view")
+    sums = summed.agg(*[F.sum(n).cast("int").alias(n) for n in names], F.coalesce(F.max("most_other"), F.lit(0)).alias("most_other"))
+    return sums.select(*kept, (F.col("chunk_stop") - F.col("chunk_start")).cast("int").alias("chunk_span"), *names, "most_other")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.functions.bounds import chunk_range, valid_pair
+from turnloom.functions.bounds import valid_pair
 from turnloom.functions.ids import clean_id
 from turnloom.operators import contracts, requests
 from turnloom.plans.dialogue import _EV, _VIEW, _events, _views, query
-from turnloom.session import table
+from turnloom.session import cut, table
 
 
 @query(f"with {_EV}, {_VIEW}, " + """
@@ -23,12 +23,9 @@ def request_events(spark: SparkSession, folder: str) -> DataFrame:
     names = ["target_active_by_chunk", "other_active_by_chunk", "overlap_by_chunk", "other_active_count_by_chunk"]
     views = _views(spark, folder, "source_id", F.col("target_channel").alias("channel"), "chunk_count", *names)
     events = _events(spark, folder, "source_id", "channel", "ordinal", "start_ms", "official_state", valid_pair(F.col("effective_event_envelope_ms")).alias("x")).filter("x is not null and x.start >= 0")
-    lo, hi = chunk_range(F.col("x.start").cast("double"), F.col("x.stop").cast("double"), F.col("chunk_count"))
-    joined = events.join(views, ["source_id", "channel"]).withColumn("lo", lo).withColumn("hi", hi)
-    arrays = dict(zip(("target", "other", "overlap", "counts"), map(F.col, names)))
     context = contracts.label_context(F.col("official_state"), F.col("official_state").isNull()).alias("state_context")
-    rows = joined.select("event_id", "source_id", "channel", "ordinal", "start_ms", context, *requests.relation_of(F.col("lo"), F.col("hi"), arrays))
-    return requests.timed_places(rows, "source_id", "start_ms", ["channel", "ordinal", "event_id"]).drop("channel", "ordinal", "start_ms")
+    rows = requests.relations(events.select("event_id", "source_id", "channel", "ordinal", "start_ms", context, "x.start", "x.stop"), views, names)
+    return requests.timed_places(cut(rows), "source_id", "start_ms", ["channel", "ordinal", "event_id"]).drop("channel", "ordinal", "start_ms")
 
 
 @query(f"with {_EV} select source_id, count(*) as events, sum(('0x' || sha256(event_id)[1:12])::bigint)::varchar as digest, least(8192, greatest(1024, count(*) * 160)) as max_tokens from ev where official_state is null group by 1")
